@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the control characters 0x09 to 0x0D.
@@ -51,6 +52,20 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def least_hashed(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
+    """Up to k rows of each value of ``by``, those of least hash of ``key``, which must be whole numbers; ``_o`` is the hash.
+
+    Each value's count tells the hash below which about twice k rows lie (and 64 more): only those are
+    ranked, so the rows that meet in a task do not grow with the table.
+    """
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * k + 64) / F.col("_n"))
+    near = rows.withColumn("_o", F.xxhash64(key)).join(F.broadcast(counts) if counts.limit(10_001).count() <= 10_000 else counts, F.col(by) == F.col("_by"))
+    near = near.where(F.col("_o").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))
+    rank = F.row_number().over(W.partitionBy(by).orderBy("_o", key))
+    return near.withColumn("_k", rank).where(F.col("_k") <= k).drop("_by", "_n", "_k")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links a-b in, fewer links out that connect the same nodes: each group becomes a tree of FAN children a node."""
     if not len(a):

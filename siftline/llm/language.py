@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.llm.common import least_hashed
+
 DOCS, WINDOW = 400, 600
 HIDDEN, PIECE = 16, 24
 STEPS, BATCH, RATE = 700, 256, 0.01
@@ -137,12 +138,10 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, per_label: int = DOCS, window: int = WINDOW) -> Network:
     """Learns from text and lang of documents that aren't held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = F.xxhash64(F.col("doc_id"))
-    at = 1 + F.pmod(order, F.greatest(F.length("text") - window, F.lit(1)))
-    rows = rows.select("doc_id", "lang", order.alias("o"), F.lower(F.col("text").substr(at.cast("int"), F.lit(window))).alias("part"))
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("k") <= per_label)
+    at = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - window, F.lit(1)))
+    rows = rows.select("doc_id", "lang", F.lower(F.col("text").substr(at.cast("int"), F.lit(window))).alias("part"))
     samples: dict[str, list[bytes]] = {}
-    for lang, part in rows.orderBy("lang", "o", "doc_id").select("lang", "part").collect():
+    for lang, part in least_hashed(rows, "lang", "doc_id", per_label).orderBy("lang", "_o", "doc_id").select("lang", "part").collect():
         samples.setdefault(lang, []).extend(part.encode("utf-8", "replace").split())
     return train({k: v for k, v in samples.items() if v})
 
