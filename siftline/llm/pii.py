@@ -93,7 +93,9 @@ def _contexts(rows: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """(term) of the corpus that disclose some entity. base: (doc_id, k, entity) of all spans' contexts' documents, a row a document."""
     pairs = contexts.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "k").alias("together"))
-    pairs = scratch.table(pairs.where(F.col("contexts") >= CONTEXTS))
+    # a term is held by all documents that have it beside any entity: those alone rule most pairs out, and no pair that could pass
+    beside = contexts.groupBy("term").agg(F.count_distinct("doc_id", "k").alias("beside"))
+    pairs = scratch.table(pairs.where(F.col("contexts") >= CONTEXTS).join(beside, "term").where(F.col("together") >= SHARE * F.col("beside")))
     terms = scratch.table(pairs.select("term").distinct())
     if terms.isEmpty():
         return terms

@@ -6,23 +6,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Matches whose places are added up in one go; totals of such blocks are added up in a second.
+BLOCK = 256
+
+
 def occurrences(text: Column, pattern: str, kind: str) -> Column:
     """Array of (kind, s, e, v): all leftmost non-overlapping matches, code points, end exclusive.
 
-    The text cut at the matches gives what lies between them; lengths added up give the places.
+    The text cut at the matches gives what lies between them; lengths added up give the places, within blocks of
+    matches and over the blocks, so that work stays near proportion in the number of matches.
     Patterns are written with possessive loops, which Java runs without recursion or backtracking.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("v"), F.slice(between, 1, F.size(found)).alias("g"))
     empty = F.array().cast("array<struct<kind:string,s:int,e:int,v:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+    def place(block: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + F.length(x["g"])
+            e = s + F.length(x["v"])
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def walk(acc: Column, block: Column) -> Column:
+        total = F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["v"]))
+        return F.struct((acc["at"] + total).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    def both(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(blocks, zero, walk, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(blocks, starts, place))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    # one-element arrays bind a value to a name, so that it is computed once
+    once = F.transform(F.array(pairs), lambda p: F.when(F.size(p) == 0, empty).otherwise(F.transform(F.array(cut(p)), both)[0]))
+    return once[0]
 
 
 def replaced(text: Column, spans: Column) -> Column:
