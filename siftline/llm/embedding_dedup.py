@@ -50,14 +50,15 @@ def _clean(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(1))[:, None], good
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prepare(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(vec_id, digest, vec): vec holds the components as stored, in single precision if they are."""
     for b in batches:
         digests, vectors = [None] * b.num_rows, [None] * b.num_rows
         lists = b.column(1)
         n = np.asarray(lists.value_lengths().fill_null(0))
         for size in np.unique(n[n > 0]):
             at = np.flatnonzero(n == size)
-            values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, size)
             _, good = _clean(values)
             for k, row in zip(at[good], values[good], strict=True):
                 vectors[k] = row.tobytes()
@@ -131,16 +132,16 @@ def fit(sample: np.ndarray, total: int, cosine: float = COSINE, trees: int = TRE
     return out
 
 
-def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees]) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str) -> Iterator[pa.RecordBatch]:
     """A row for each leaf that a vector falls in, or for each pair of sub-blocks it is in there."""
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
-            sizes = np.asarray(pa.compute.binary_length(b.column(2))) // 8
+            sizes = np.asarray(pa.compute.binary_length(b.column(2))) // np.dtype(kind).itemsize
             for size in np.unique(sizes):
                 own = b.take(pa.array(np.flatnonzero(sizes == size)))
                 rep = own.column(0).to_numpy()
-                x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist())).reshape(-1, size))
+                x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(-1, size))
                 forest_ = trees.get(int(size))
                 for t in range(TREES if forest_ is None else len(forest_.thresholds)):
                     row, leaf = forest_.leaves(x, t)
@@ -169,7 +170,7 @@ def _shared_before(x: np.ndarray, trees: Trees, leaf: int) -> np.ndarray:
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Within leaves: how many vectors each is linked with (b = 0 - count), and a tree of the links (a, b)."""
     for t in runs(batches, ["dim", "leaf", "i", "j"], 10_000):
         keys = [t[k].to_numpy() for k in ("dim", "leaf", "i", "j")]
@@ -181,7 +182,7 @@ def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine:
             dim, leaf, i, j = (int(k[lo]) for k in keys)
             own = t.slice(lo, hi - lo)
             rep, n, salt = (own[k].to_numpy() for k in ("rep", "n", "salt"))
-            x, _ = _clean(np.frombuffer(b"".join(own["vec"].to_pylist())).reshape(-1, dim))
+            x, _ = _clean(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, dim))
             near = x @ x.T >= cosine
             np.fill_diagonal(near, False)
             if i != j:
@@ -199,21 +200,23 @@ def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine:
             b.append(v)
         a, b = forest(np.concatenate(a), np.concatenate(b))
         ids, counts = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
-        kind = np.r_[np.zeros(len(ids), bool), np.ones(len(a), bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([counts, b]))], ["link", "a", "b"])
+        link = np.r_[np.zeros(len(ids), bool), np.ones(len(a), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(link), pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([counts, b]))], ["link", "a", "b"])
 
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF, n_trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of all vectors."""
     scratch = Scratch(table.sparkSession, "vectors")
-    rows = scratch.table(table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_prepare, "vec_id long, digest binary, vec binary"))
+    single = table.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = scratch.table(table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>")).mapInArrow(lambda it: _prepare(it, kind), "vec_id long, digest binary, vec binary"))
     reps = scratch.table(rows.where("vec_id is not null and digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("vec").alias("vec")))
     trees = {}
-    for size, total in reps.groupBy((F.octet_length("vec") / 8).cast("int").alias("size")).count().collect():  # a row for each length of vector
-        got = reps.where(F.octet_length("vec") == size * 8).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
-        trees[size] = fit(_clean(np.frombuffer(b"".join(bytes(r[0]) for r in got)).reshape(-1, size))[0], total, cosine, n_trees, leaf)
-    routed = reps.select("rep", "n", "vec").mapInArrow(lambda it: _route(it, trees), "dim int, leaf long, i int, j int, salt int, rep long, n long, vec binary")
-    found = scratch.table(routed.repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, trees, cosine), "link boolean, a long, b long"))
+    for size, total in reps.groupBy((F.octet_length("vec") / np.dtype(kind).itemsize).cast("int").alias("size")).count().collect():  # a row for each length of vector
+        got = reps.where(F.octet_length("vec") == size * np.dtype(kind).itemsize).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
+        trees[size] = fit(_clean(np.frombuffer(b"".join(bytes(r[0]) for r in got), kind).reshape(-1, size))[0], total, cosine, n_trees, leaf)
+    routed = reps.select("rep", "n", "vec").mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, i int, j int, salt int, rep long, n long, vec binary")
+    found = scratch.table(routed.repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, trees, cosine, kind), "link boolean, a long, b long"))
     joined = components(found.where("link").select("a", "b"), scratch)
     counts = found.where("not link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     per = reps.select("rep", "digest", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
