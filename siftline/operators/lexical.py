@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as t
+from siftline.sources.scratch import materialized
 
 K1, B = 1.5, 0.75
 
@@ -26,14 +27,16 @@ def bm25(chunks: DataFrame) -> DataFrame:
     Only the query's tokens are counted in each chunk, so what is shuffled for the statistics is a row a chunk and query token.
     """
     rows = chunks.withColumn("tokens", t.tokens("text")).withColumn("q", t.tokens("query"))
-    rows = rows.withColumn("tf", F.transform("q", lambda x: F.size(F.filter("tokens", lambda y: y == x))))
-    sizes = rows.groupBy("query_id").agg((F.count("*") + 1).alias("n"), ((F.sum(F.size("tokens")) + F.max(F.size("q"))) / (F.count("*") + 1)).alias("mean"))
+    # tokens are made once; the statistics then read their own columns alone
+    rows = materialized(rows.withColumn("tf", F.transform("q", lambda x: F.size(F.filter("tokens", lambda y: y == x)))).withColumn("size", F.size("tokens")), "tokens")
+    sizes = rows.groupBy("query_id").agg((F.count("*") + 1).alias("n"), ((F.sum("size") + F.max(F.size("q"))) / (F.count("*") + 1)).alias("mean"))
     df = rows.select("query_id", F.posexplode("tf").alias("at", "f")).groupBy("query_id", "at").agg((F.count_if(F.col("f") > 0) + 1).alias("df"))
     df = df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("dfs"))
     stats = sizes.join(df, "query_id", "left").select("query_id", "mean", F.transform(F.coalesce("dfs", F.array().cast("array<bigint>")), lambda d: F.log((F.col("n") + 1) / (d + 1)) + 1).alias("idfs"))
     rows = rows.join(stats, "query_id")
-    norm = K1 * (1 - B + F.when(F.col("mean") > 0, B * F.size("tokens") / F.col("mean")).otherwise(0.0))
+    norm = K1 * (1 - B + F.when(F.col("mean") > 0, B * F.col("size") / F.col("mean")).otherwise(0.0))
     parts = F.zip_with("tf", "idfs", lambda f, w: F.when(f > 0, w * (f * (K1 + 1)) / (f + norm)).otherwise(F.lit(0.0)))
     rows = rows.withColumn("raw", F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+    rows = rows.drop("idfs", "mean", "size")
     best = rows.groupBy("query_id").agg(F.max("raw").alias("best"))
-    return rows.join(best, "query_id").withColumn("bm25", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw"))).drop("raw", "best", "tf", "idfs", "mean")
+    return rows.join(best, "query_id").withColumn("bm25", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw"))).drop("raw", "best", "tf")

@@ -14,6 +14,7 @@ from siftline.config import Config
 from siftline.functions import dates, urls
 from siftline.functions import text as t
 from siftline.operators.lexical import bm25
+from siftline.sources.scratch import materialized
 
 SAME, MIX = 0.85, 0.7
 DOMAIN, DROP = 3, 0.9
@@ -119,6 +120,7 @@ def selected(rows: DataFrame, top_k: Column | int | None = None, config: Config
     With ``cross``, a model's score of each row, what is left is ranked anew by 0.6 relevance + 0.4 of it.
     """
     default = (config or Config()).top_chunks_per_page
+    rows = materialized(rows, "scored")
     top = t.breadth("query") if top_k is None else F.lit(top_k) if isinstance(top_k, int) else top_k
     again = cross if cross is not None else F.lit(None).cast("double")
     keys = rows.select("query_id", "pos", "relevance", "source_idx", urls.domain(F.coalesce("source_url", F.lit(""))).alias("domain"), "tokens", top.cast("int").alias("top_k"), again.alias("cross"))

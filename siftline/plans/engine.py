@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftline.config import Config
 from siftline.functions import text as t
 from siftline.operators import context, merge, quality, ranking
+from siftline.sources.scratch import materialized
 
 
 @dataclass
@@ -45,7 +46,7 @@ class Engine:
 
     def read(self, queries: DataFrame) -> DataFrame:
         """Ranked chunks with confidence."""
-        return ranking.rerank(self.evidence(queries), t.breadth("query"), self.config, self.similarity, self.cross)
+        return materialized(ranking.rerank(self.evidence(queries), t.breadth("query"), self.config, self.similarity, self.cross), "ranked")
 
     def contexts(self, queries: DataFrame) -> DataFrame:
         ranked = self.read(queries)

@@ -13,6 +13,7 @@ from siftline.functions.dom import with_text
 from siftline.operators import context, lexical, merge, quality, ranking
 from siftline.plans import inputs
 from siftline.plans.engine import Engine
+from siftline.sources.scratch import materialized
 from siftline.sources.tables import page_texts, prompt_name, table
 
 #: Links of both engines, with the targets they should give.
@@ -36,6 +37,11 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return ranking.scored(inputs.chunks(s, d))
 
 
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    """Scored chunks in rank order, as if all were selected."""
+    return materialized(_scored(s, d).drop("tokens").withColumn("sel_pos", F.col("pos")), "scored")
+
+
 def _turns(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
 
@@ -209,7 +215,7 @@ def island_merge(s, d):
 
 
 def _ranked(s, d):
-    return ranking.rerank(inputs.chunks(s, d), t.breadth("query"))
+    return materialized(ranking.rerank(inputs.chunks(s, d), t.breadth("query")), "ranked")
 
 
 def confidence(s, d):
@@ -217,7 +223,7 @@ def confidence(s, d):
 
 
 def source_relevance(s, d):
-    rows = context.surviving(_scored(s, d).withColumn("sel_pos", F.col("pos")), F.col("fetched"))
+    rows = context.surviving(_kept(s, d), F.col("fetched"))
     return rows.groupBy("query_id", F.col("source_idx").cast("long").alias("source_idx")).agg(F.max("source_no").cast("long").alias("source_no"), F.count("*").alias("chunks"))
 
 
@@ -235,12 +241,12 @@ def context_build(s, d):
 
 
 def source_list(s, d):
-    rows = _scored(s, d).withColumn("sel_pos", F.col("pos"))
+    rows = _kept(s, d)
     return context.contexts(rows, context.surviving(rows, F.col("fetched"))).select("query_id", "source_list", F.length("context").cast("long").alias("context_len"), F.md5("context").alias("context_digest"))
 
 
 def freshness_warning(s, d):
-    rows = _scored(s, d).withColumn("sel_pos", F.col("pos"))
+    rows = _kept(s, d)
     asked = rows.select("query_id", "query", "as_of").distinct()
     return context.freshness(context.surviving(rows, F.col("fetched")), asked)
 
