@@ -1,55 +1,22 @@
-"""Shared pieces: scratch tables in the folder all executors see, forests of links, connected components."""
+"""Shared pieces: bounded samples, forests of links, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.sources.scratch import Scratch, scratch_dir  # noqa: F401
+
 #: White space that separates words: space and the control characters 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Children of a node in the trees that stand for a group's links; keeps any node's degree small.
 FAN = 16
-_OWN: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local mode) one of our own."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="siftline-")
-    return _OWN[app]
-
-
-class Scratch:
-    """Written tables that cut lineage. They live in the shared folder, so a lost executor loses none of them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def table(self, df: DataFrame) -> DataFrame:
-        return self.save(df)[0]
-
-    def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def least_hashed(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
