@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside higher-order functions Spark does not share repeated expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(_of(c), r"(?U)^\s+|\s+$", "")
 
@@ -35,8 +42,8 @@ def query_language(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits of more than two characters, without stop words."""
-    stop = F.array(*map(F.lit, w.STOP_WORDS_RU + w.STOP_WORDS_EN))
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(_of(c), F.lit(""))), F.lit(w.TOKEN), F.lit(0)), lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    stop = [x for x in w.STOP_WORDS_RU + w.STOP_WORDS_EN if len(x) > 2]
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(_of(c), F.lit(""))), F.lit(w.TOKEN), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(stop))
 
 
 def sentences(c: Column | str) -> Column:
@@ -103,11 +110,13 @@ def without_garbage(c: Column | str) -> Column:
 
 
 def is_incomplete(c: Column | str) -> Column:
-    s = strip(c)
-    n = F.length(s)
-    return (
-        F.col(c).isNull() if isinstance(c, str) else c.isNull()
-    ) | (F.length(_of(c)) < 50) | (n == 0) | ((n < 100) & s.rlike(r"^\p{Ll}")) | s.rlike(r"^[.,\-—–…]") | s.rlike("[-—]$") | ((n < 100) & s.rlike(r"\p{L}$"))
+    """Short, starting in the middle if short, starting or ending with a mark that says so, or ending in a letter if short."""
+
+    def test(s: Column) -> Column:
+        n = F.length(s)
+        return (n == 0) | ((n < 100) & s.rlike(r"^\p{Ll}")) | s.rlike(r"^[.,\-—–…]") | s.rlike("[-—]$") | ((n < 100) & s.rlike(r"\p{L}$"))
+
+    return F.coalesce((F.length(_of(c)) < 50) | let(strip(c), test), F.lit(True))
 
 
 def most_frequent(words: Column) -> Column:
@@ -122,21 +131,24 @@ def most_frequent(words: Column) -> Column:
 
 
 def is_low_quality(c: Column | str) -> Column:
-    words = pieces(c)
-    n = F.size(words).cast("double")
-    phrases = sum((F.contains(F.lower(_of(c)), F.lit(p)).cast("int") for p in w.BOILERPLATE[1:]), F.contains(F.lower(_of(c)), F.lit(w.BOILERPLATE[0])).cast("int"))
-    often = most_frequent(F.filter(F.transform(words, F.lower), lambda x: F.length(x) > 3))
-    long_ = F.size(F.filter(words, lambda x: F.length(x) > 4))
-    bad = (F.length(_of(c)) < 50) | (n == 0) | (n < 0.08 * F.length(_of(c))) | (phrases >= 2) | (often > n * 0.3) | (long_ < 0.2 * n)
-    return F.coalesce(bad, F.lit(True))
+    """Short, of overlong words, with two boilerplate phrases, of one word for a third, or without longer words."""
+
+    def worded(words: Column) -> Column:
+        n = F.size(words).cast("double")
+        often = most_frequent(F.filter(F.transform(words, F.lower), lambda x: F.length(x) > 3))
+        return (n == 0) | (n < 0.08 * F.length(_of(c))) | (F.size(F.filter(words, lambda x: F.length(x) > 4)) < 0.2 * n) | (often > n * 0.3)
+
+    def phrased(low: Column) -> Column:
+        found = [F.contains(low, F.lit(p)).cast("int") for p in w.BOILERPLATE]
+        return sum(found[1:], found[0]) >= 2
+
+    return F.coalesce((F.length(_of(c)) < 50) | let(F.lower(_of(c)), phrased) | let(pieces(c), worded), F.lit(True))
 
 
 def is_content(c: Column | str, relevance: Column | None = None, sentence: int = 40, least: int = 5, threshold: float = 0.35) -> Column:
     """Whether a page's text is content: enough long sentences or, for a price list, enough relevance (none if unknown)."""
-    lines = F.split(_of(c), "\n")
-    numeric = F.size(F.filter(lines, lambda x: strip(x).rlike("(?U)" + w.NUMERIC_LINE)))
-    prices = numeric / F.greatest(F.size(lines), F.lit(1)) > 0.3
-    sizes = F.filter(F.transform(F.split(_of(c), r"(?U)[.!?]\s+"), lambda x: F.length(strip(x))), lambda n: n > 20)
-    prose = (F.size(sizes) >= least) & (F.aggregate(sizes, F.lit(0), lambda a, b: a + b) >= sentence * F.size(sizes))
+    prices = let(F.split(_of(c), "\n"), lambda lines: F.size(F.filter(lines, lambda x: strip(x).rlike("(?U)" + w.NUMERIC_LINE))) / F.size(lines) > 0.3)
+    long_ = F.filter(F.transform(F.split(_of(c), r"(?U)[.!?]\s+"), lambda x: F.length(strip(x))), lambda n: n > 20)
+    prose = let(long_, lambda sizes: (F.size(sizes) >= least) & (F.aggregate(sizes, F.lit(0), lambda a, b: a + b) >= sentence * F.size(sizes)))
     listed = F.coalesce(relevance >= threshold, F.lit(False)) if relevance is not None else F.lit(False)
     return F.coalesce((F.length(_of(c)) >= 200) & F.when(prices, listed).otherwise(prose), F.lit(False))

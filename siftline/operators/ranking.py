@@ -22,19 +22,25 @@ DOMAIN, DROP = 3, 0.9
 
 def answer_span(query: Column, text: Column, window: int = 200) -> Column:
     """(span, score, full_sentence): the sentence that holds most of a factoid query's tokens, and what stands around it; else null."""
-    asked = F.array_distinct(t.tokens(query))
-
-    def score(s: Column, i: Column) -> Column:
-        own = F.array_distinct(t.tokens(s))
-        value = F.size(F.array_intersect(asked, own)) / F.size(asked) + F.when(s.rlike(r"(?U)\d"), 0.3).otherwise(0.0)
-        return F.struct(F.when(F.size(own) > 0, value).otherwise(0.0).alias("score"), (-i).alias("at"), s.alias("sentence"))
-
-    best = F.array_max(F.transform(t.sentences(text), score))
-    at = F.position(best["sentence"], text)
-    start = F.greatest(F.lit(0), at - 1 - window // 2)
-    end = F.least(F.length(text), at - 1 + F.length(best["sentence"]) + window // 2)
-    span = F.struct(t.strip(F.substring(text, start + 1, end - start)).alias("span"), best["score"].alias("score"), best["sentence"].alias("full_sentence"))
-    return F.when(t.is_factoid(query) & (F.size(asked) > 0), F.when(best["score"] > 0.3, span))
+
+    def asked(words: Column) -> Column:
+        def score(s: Column, i: Column) -> Column:
+            def of(own: Column) -> Column:
+                value = F.size(F.array_intersect(words, own)) / F.size(words) + F.when(s.rlike(r"(?U)\d"), 0.3).otherwise(0.0)
+                return F.struct(F.when(F.size(own) > 0, value).otherwise(0.0).alias("score"), (-i).alias("at"), s.alias("sentence"))
+
+            return t.let(F.array_distinct(t.tokens(s)), of)
+
+        def around(best: Column) -> Column:
+            at = F.position(best["sentence"], text)
+            start = F.greatest(F.lit(0), at - 1 - window // 2)
+            end = F.least(F.length(text), at - 1 + F.length(best["sentence"]) + window // 2)
+            span = F.struct(t.strip(F.substring(text, start + 1, end - start)).alias("span"), best["score"].alias("score"), best["sentence"].alias("full_sentence"))
+            return F.when(best["score"] > 0.3, span)
+
+        return F.when(F.size(words) > 0, t.let(F.array_max(F.transform(t.sentences(text), score)), around))
+
+    return F.when(t.is_factoid(query), t.let(F.array_distinct(t.tokens(query)), asked))
 
 
 def scored(chunks: DataFrame, config: Config | None = None, semantic: Column | None = None) -> DataFrame:
