@@ -67,19 +67,21 @@ def _maybe(rows: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, k, item_id, start, similarity): the best window, first of equals, of each document and item that match; k tells texts apart."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where("size(words) > 0").dropDuplicates()
+    item = F.xxhash64("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")))  # ids may be null or repeat with another text
+    items = benchmark.select("item_id", item.alias("item"), _words(F.col("text")).alias("words")).where("size(words) > 0").dropDuplicates(["item"])
+    names = scratch.table(items.select("item", "item_id"))
     sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("size")).distinct().collect()]  # SHINGLE values at most
-    parts = [items.where(F.least(F.size("words"), F.lit(SHINGLE)) == s).select("item_id", F.lit(s).alias("size"), F.posexplode(_shingles("words", s)).alias("q", "h")) for s in sizes]
+    parts = [items.where(F.least(F.size("words"), F.lit(SHINGLE)) == s).select("item", F.lit(s).alias("size"), F.posexplode(_shingles("words", s)).alias("q", "h")) for s in sizes]
     if not parts:
         return docs.select("doc_id", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).where("false")
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = scratch.table(rows.withColumn("m", F.count("*").over(W.partitionBy("item_id", "size"))).withColumn("often", F.count("*").over(W.partitionBy("size", "h"))))
-    rank = F.row_number().over(W.partitionBy("item_id", "size").orderBy("often", "h", "q"))
-    rare = scratch.table(rows.withColumn("rank", rank).where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1).select("item_id", "size", "m", "q", "h"))
-    prints = scratch.table(_fingerprint(rows, "item_id", "size").select("item_id", "size", "fp", F.col("m").alias("items")))
-    weights = scratch.table(rows.groupBy("item_id", "size", "h").agg(F.count("*").alias("theirs")))
+    rows = scratch.table(rows.withColumn("m", F.count("*").over(W.partitionBy("item", "size"))).withColumn("often", F.count("*").over(W.partitionBy("size", "h"))))
+    rank = F.row_number().over(W.partitionBy("item", "size").orderBy("often", "h", "q"))
+    rare = scratch.table(rows.withColumn("rank", rank).where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1).select("item", "size", "m", "q", "h"))
+    prints = scratch.table(_fingerprint(rows, "item", "size").select("item", "size", "fp", F.col("m").alias("items")))
+    weights = scratch.table(rows.groupBy("item", "size", "h").agg(F.count("*").alias("theirs")))
 
     texts = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"), _words(F.col("text")).alias("words"))
     index = _maybe(rare)
@@ -88,7 +90,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         met = texts.select("doc_id", "k", F.size("words").alias("n"), F.posexplode(_shingles("words", s)).alias("p", "h")).join(index.where(F.col("size") == s), "h")
         last = F.col("n") - (s - 1) - F.least("m", F.col("n") - (s - 1))
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), last)).cast("int")
-        met = met.select("doc_id", "k", "item_id", "size", F.col("m").cast("int").alias("m"), start.alias("start"))
+        met = met.select("doc_id", "k", "item", "size", F.col("m").cast("int").alias("m"), start.alias("start"))
         found = met if found is None else found.unionByName(met)
     found = scratch.table(found.distinct())
     held = _maybe(found.select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct())
@@ -97,21 +99,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     for s in sizes:
         whole = texts.select(F.col("doc_id").alias("i"), F.col("k").alias("j"), _shingles("words", s).alias("all"))
         own = found.where(F.col("size") == s)
-        part = own.join(whole, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j"))).select("doc_id", "k", "item_id", "size", "start", F.explode(F.slice("all", F.col("start") + 1, F.col("m"))).alias("h"))
+        part = own.join(whole, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j"))).select("doc_id", "k", "item", "size", "start", F.explode(F.slice("all", F.col("start") + 1, F.col("m"))).alias("h"))
         windows = part if windows is None else windows.unionByName(part)
     windows = scratch.table(windows)
-    by = ("doc_id", "k", "item_id", "size", "start")
-    blocks = _maybe(prints.select("item_id", "size", "items", F.col("fp").alias("theirs"), F.explode(_blocks()).alias("block")))
-    near = _fingerprint(windows, *by).withColumn("block", F.explode(_blocks())).join(blocks, ["item_id", "size", "block"])
+    by = ("doc_id", "k", "item", "size", "start")
+    blocks = _maybe(prints.select("item", "size", "items", F.col("fp").alias("theirs"), F.explode(_blocks()).alias("block")))
+    near = _fingerprint(windows, *by).withColumn("block", F.explode(_blocks())).join(blocks, ["item", "size", "block"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*by, "m", "items").distinct()
     near = scratch.table(near.select(*(F.col(c).alias("n_" + c) for c in by), "m", "items"))
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col("n_" + c))
     mine = windows.groupBy(*by, "h").agg(F.count("*").alias("mine")).join(near, same)
-    both = mine.join(_maybe(weights), ["item_id", "size", "h"]).groupBy(*by, "m", "items").agg(F.sum(F.least("mine", "theirs")).alias("shared"))
+    both = mine.join(_maybe(weights), ["item", "size", "h"]).groupBy(*by, "m", "items").agg(F.sum(F.least("mine", "theirs")).alias("shared"))
     value = F.col("shared") / (F.col("m") + F.col("items") - F.col("shared"))
-    best = both.withColumn("similarity", value).where(F.col("similarity") >= similarity - 1e-12).groupBy("doc_id", "k", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x"))
+    best = both.withColumn("similarity", value).where(F.col("similarity") >= similarity - 1e-12).join(_maybe(names), "item")
+    best = best.groupBy("doc_id", "k", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x"))
     return scratch.table(best.select("doc_id", "k", "item_id", (-F.col("x.s")).alias("start"), F.col("x.similarity").alias("similarity")))
 
 

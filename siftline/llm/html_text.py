@@ -38,7 +38,7 @@ BLOCK = frozenset(
 DROPPED = frozenset("nav header footer aside form button select textarea option iframe noscript object svg menu dialog fieldset audio video canvas template title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|respond|disqus|replies|cookies?|consent|gdpr|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
+    r"(?:^|[\s_]|(?<!with)(?<!has)(?<!no)-)(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|respond|disqus|replies|cookies?|consent|gdpr|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
     r"notice|notices|notification|popup|promo|promotion|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|subscription|toolbar|widget|complementary|contentinfo|alert|search)(?:$|[\s_-])",
     re.I,
 )
@@ -120,7 +120,7 @@ def classify(text: str, linked: int, article: bool) -> str:
         return "undecided"
     if density >= DENSE or (density >= SOME and len(text) >= LONG):
         return "text"
-    return "undecided" if density >= SOME else "boilerplate"
+    return "undecided"
 
 
 def main_text(page: str | None) -> str:

@@ -190,7 +190,9 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network, called: tuple[str,
             own = np.flatnonzero(group == g)
             part = b.slice(own[0], len(own))
             texts = part.column(1).fill_null("")
-            if lengths[own].max() > PART:  # a long text goes through in parts
+            if not net.labels:
+                sums, n = np.zeros((len(own), 0)), np.zeros(len(own))
+            elif lengths[own].max() > PART:  # a long text goes through in parts
                 cut = [(i, t[k : k + PART]) for i, t in enumerate(texts.to_pylist()) for k in range(0, max(len(t), 1), PART)]
                 sums, n = np.zeros((len(own), len(net.labels))), np.zeros(len(own))
                 for k in range(0, len(cut), 16):

@@ -130,19 +130,24 @@ def find(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, Da
     return rows.select("doc_id", "k", "base"), spans
 
 
-def _with_terms(rows: DataFrame, spans: DataFrame | None) -> DataFrame:
+def _with_terms(rows: DataFrame, spans: DataFrame | None, key: str) -> DataFrame:
+    """Adds _terms, by doc_id and the column ``key`` that tells texts apart."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
     if spans is None:
-        return rows.withColumn("terms", F.array().cast("array<struct<s:int,e:int>>"))
-    named = spans.select(F.col("doc_id").alias("i"), F.col("k").alias("j"), "terms")
-    return rows.join(_maybe(named), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j")), "left").drop("i", "j").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")))
+        return rows.withColumn("_terms", none)
+    named = spans.select(F.col("doc_id").alias("_i"), F.col("k").alias("_j"), F.col("terms").alias("_found"))
+    joined = rows.join(_maybe(named), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_j")), "left")
+    return joined.withColumn("_terms", F.coalesce("_found", none)).drop("_i", "_j", "_found")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """All documents with their columns; base spans and disclosing terms of text are replaced, n_chars follows where there is one."""
     _, spans = find(docs)
-    rows = _with_terms(_key(docs), spans).withColumn("_spans", F.concat(base_spans(F.col("t")), F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("v")))))
-    text = F.when(F.col("text").isNotNull(), replaced(F.col("t"), F.col("_spans")))
-    out = rows.withColumn("text", text)
+    rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = _with_terms(rows.withColumn("_key", F.xxhash64("_t")), spans, "_key")
+    terms = F.transform("_terms", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("v")))
+    rows = rows.withColumn("_spans", F.concat(base_spans(F.col("_t")), terms))
+    out = rows.withColumn("text", F.when(F.col("text").isNotNull(), replaced(F.col("_t"), F.col("_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -150,10 +155,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     rows, spans = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = _with_terms(rows, spans)
+    rows = _with_terms(rows, spans, "k")
     write = lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))
     base = F.transform("base", write)
-    terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string")))
+    terms = F.transform("_terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string")))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(kind) for kind in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return rows.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("_terms").cast("long").alias("n_term"))

@@ -200,7 +200,8 @@ def _case(tree: tuple, column: str) -> str:
 
 def vote(forest: list[tuple], column: str) -> Column:
     """The trees' mean share of secrets for an array column of features."""
-    return F.expr("(" + " + ".join(_case(t, column) for t in forest) + f") / {len(forest)}D")
+    # within a higher-order function the trees are evaluated as they are: as generated code they outgrow a Java method
+    return F.expr(f"transform(array({column}), v -> (" + " + ".join(_case(t, "v") for t in forest) + f") / {len(forest)}D)[0]")
 
 
 @lru_cache(maxsize=4)
