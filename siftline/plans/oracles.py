@@ -128,14 +128,19 @@ SPANS = rf"""
 sen AS (SELECT doc_id, text, list_distinct({tok('query')}) AS q, unnest({sent('text')}) AS s, unnest(range(len({sent('text')}))) AS i FROM chunks WHERE {factoid('query')}),
 sc AS (SELECT doc_id, text, s, i, CASE WHEN len({tok('s')}) > 0 THEN len(list_intersect(q, list_distinct({tok('s')}))) / len(q) + CASE WHEN regexp_matches(s, '\d') THEN 0.3::DOUBLE ELSE 0 END ELSE 0 END AS score FROM sen WHERE len(q) > 0),
 spans AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1 AND score > 0.3)"""
-HYBRID = f"""{BM25},{SPANS},
-val AS (SELECT n.*, bm.tokens, bm.bm25, {weight('n.query', (0.8, 0.5, 0.65, 0.7))} * bm.bm25 * CASE WHEN spans.doc_id IS NOT NULL THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN chunk_idx < 3 THEN 1.1::DOUBLE ELSE 1 END
+def hybrid(semantic: str = "0::DOUBLE", extra: str = "") -> str:
+    """Chunks with their hybrid scores; ``semantic`` may read what ``extra`` joins."""
+    return f"""{BM25},{SPANS},
+val AS (SELECT n.*, bm.tokens, bm.bm25, {semantic} AS semantic, ({weight('n.query', (0.8, 0.5, 0.65, 0.7))} * bm.bm25 + {weight('n.query', (0.2, 0.5, 0.35, 0.3))} * {semantic}) * CASE WHEN spans.doc_id IS NOT NULL THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN chunk_idx < 3 THEN 1.1::DOUBLE ELSE 1 END
   * CASE WHEN len(list_filter(bm.q, lambda y: contains(lower(source_title), y))) > 0 THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN {facts('n.text')} THEN 1.15::DOUBLE ELSE 1 END
   * CASE WHEN {has('n.query', w.NEWS)} AND pub_date IS NOT NULL THEN CASE WHEN date_diff('second', pub_date, as_of) / 3600 < 24 THEN 1.3::DOUBLE WHEN date_diff('second', pub_date, as_of) / 3600 < 168 THEN 1.15::DOUBLE ELSE 1 END ELSE 1 END AS value
-  FROM named n JOIN bm USING (doc_id) LEFT JOIN spans USING (doc_id)),
+  FROM named n JOIN bm USING (doc_id) LEFT JOIN spans USING (doc_id) {extra}),
 scored AS (SELECT *, round(value, 4) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(value, 4) DESC, source_idx, chunk_idx, text) AS pos FROM val)"""
 
 
+HYBRID = hybrid()
+
+
 def folded(top_k: str) -> str:
     """Near-duplicates, caps and marginal relevance, a ranked row or a pick at a time."""
     score = lambda x: f"(0.7::DOUBLE * {x}.rel - (1 - 0.7::DOUBLE) * {x}.lik)"
@@ -224,7 +229,12 @@ _A = dict(enumerate(["https://example.com/a", "https://example.com/ab", "https:/
 _B = dict(enumerate(queries.LINKS)) | {5: "https://example.com/a+b c"}
 _PUBLISHED = {0: "2024-01-05 10:20:30", 1: "2024-01-05 10:20:30", 2: "2024-01-05 00:00:00", 3: "2024-01-05 10:20:00", 7: "2024-01-05 10:20:30"}
 
+_DOT = lambda a, b: f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+_NEAR = f"coalesce({_DOT('v.embedding', 'u.embedding')} / (sqrt({_DOT('v.embedding', 'v.embedding')}) * sqrt({_DOT('u.embedding', 'u.embedding')})), 0)"
+_VECTORS = "LEFT JOIN embeddings v ON v.vec_id = n.doc_id LEFT JOIN embeddings u ON u.vec_id = n.query_id"
+
 ORACLES = {
+    "hybrid_semantic": f"WITH {hybrid(_NEAR, _VECTORS)} SELECT doc_id, round(semantic, 4) AS semantic, relevance FROM scored",
     "lang_detect": f"SELECT doc_id, {language('text')} AS detected, CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'ru' ELSE 'en' END AS query_lang FROM documents",
     "url_normalize": f"SELECT page_id, {norm('url')} AS norm, {key('url')} AS engine_key FROM pages",
     "url_domain": f"SELECT page_id, replace({netloc('url')}, 'www.', '') AS domain, {netloc('url')} AS netloc FROM pages",

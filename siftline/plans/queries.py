@@ -195,7 +195,7 @@ def semantic_topk(s, d):
 def hybrid_semantic(s, d):
     v = table(s, d, "embeddings")
     rows = inputs.chunks(s, d).join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("e")), "doc_id", "left").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe")), "query_id", "left")
-    return ranking.scored(rows, semantic=merge.cosine(F.col("e"), F.col("qe"))).select("doc_id", F.round("semantic", 4).alias("semantic"), F.round("relevance", 3).alias("relevance"))
+    return ranking.scored(rows, semantic=merge.cosine(F.col("e"), F.col("qe"))).select("doc_id", "semantic", "relevance")
 
 
 def near_dedup(s, d):
