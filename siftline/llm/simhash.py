@@ -5,10 +5,11 @@ Fingerprints are 64 bits over word shingles. Two rules hold together:
 * Pigeonhole: ``RADIUS`` differing bits touch at most RADIUS of BLOCKS blocks, so two linked
   fingerprints agree on some BLOCKS - RADIUS blocks. Each such set of blocks is one table; rows that
   agree on it meet in one bucket.
-* Pivots: Hamming distances to PIVOTS reference fingerprints are computed once a fingerprint. By the
-  triangle inequality a pair whose distances to any pivot differ by more than RADIUS cannot be linked. A
-  bucket is sorted by the first pivot's distance and walked in a window; the other pivots discard most of
-  what is left; survivors are verified by their own Hamming distance. No link is lost.
+* Pivots: a bucket's rows get a table of Hamming distances to PIVOTS reference fingerprints (made where
+  they meet, as that costs less than to shuffle it). By the triangle inequality a pair whose distances to
+  any pivot differ by more than RADIUS cannot be linked. A bucket is sorted by the first pivot's distance,
+  which bounds a window; the other pivots discard most of what is left; survivors are verified by their
+  own Hamming distance. No link is lost.
 
 Equal fingerprints are one row throughout. A bucket that a sample shows to be large is cut into salted
 sub-blocks, each pair of which is a task of its own, so that its size bounds no task. What leaves a bucket
@@ -128,18 +129,26 @@ def _pairs(fp: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _spread(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all that is connected within one large bucket: grown from seeds, each row asked once."""
+def _spread(fp: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all that is connected within one large bucket, sorted by ``first``: grown from seeds, each row asked once."""
+    table = np.stack([np.bitwise_count(fp ^ r).astype(np.int8) for r in REFERENCES])
     left, right = [], []
     rest = np.arange(len(fp))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[at]) <= RADIUS
-            if near.any():
-                got = rest[near]
-                rest = rest[~near]
+            ordered = first[rest]
+            lo, hi = np.searchsorted(ordered, first[at] - RADIUS), np.searchsorted(ordered, first[at] + RADIUS, "right")
+            place = np.arange(lo, hi)
+            for own in table[1:]:
+                if not len(place):
+                    break
+                place = place[np.abs(own[rest[place]] - own[at]) <= RADIUS]
+            place = place[np.bitwise_count(fp[rest[place]] ^ fp[at]) <= RADIUS]
+            if len(place):
+                got = rest[place]
+                rest = np.delete(rest, place)
                 left.append(np.full(len(got), at))
                 right.append(got)
                 front.extend(got)
@@ -150,6 +159,7 @@ def _spread(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, ["key", "i", "j"]):
         fp, rep = t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy()
+        first = t["first"].to_numpy().astype(np.int16)
         key, i, j = (t[k].to_numpy() for k in ("key", "i", "j"))
         change = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
         group = np.cumsum(change) - 1
@@ -157,12 +167,12 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         some = np.flatnonzero((size > 1) & (size <= 64))
         if len(some):
-            x, y = _pairs(fp[some], group[some], t["first"].to_numpy()[some].astype(np.int16))
+            x, y = _pairs(fp[some], group[some], first[some])
             a.append(rep[some][x])
             b.append(rep[some][y])
         for g in np.unique(group[size > 64]):
             own = np.flatnonzero(group == g)
-            x, y = _spread(fp[own])
+            x, y = _spread(fp[own], first[own])
             a.append(rep[own][x])
             b.append(rep[own][y])
         x, y = forest(np.concatenate(a), np.concatenate(b))

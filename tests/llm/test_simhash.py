@@ -65,6 +65,26 @@ def test_links_match_brute_force(spark, monkeypatch, salted):
     assert {i: found.get(i, i) for i in range(len(prints))} == plain_components(range(len(prints)), prints)
 
 
+def test_large_bucket_keeps_every_component():
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    prints = np.unique(np.concatenate([seeds, *(seeds ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(6))]))
+    first = np.bitwise_count(prints ^ simhash.REFERENCES[0]).astype(np.int16)
+    order = np.argsort(first, kind="stable")
+    x, y = simhash._spread(prints[order], first[order])
+    assert (np.bitwise_count(prints[order][x] ^ prints[order][y]) <= simhash.RADIUS).all()
+    label = np.arange(len(prints))
+    for _ in range(len(prints)):
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+    got = dict(zip(prints[order].tolist(), label.tolist(), strict=True))
+    plain = plain_components(range(len(prints)), [int(p) for p in prints])
+    groups = {}
+    for i, c in plain.items():
+        groups.setdefault(c, set()).add(got[int(prints[i])])
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups) < len(prints)
+
+
 def test_odd_rows(odd, none, clashing):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
