@@ -7,8 +7,10 @@ leaves counts in the first of them alone, so that link counts add up without a l
 
 The trees are fitted on the SAMPLE rows of least hash (a bounded sample, a parameter); every row goes through
 every tree. A node whose sample can't be split without sending over STUCK of it to both sides (a tight cluster)
-becomes a leaf; a leaf expected to hold many rows is cut into salted sub-blocks compared pair by pair, so that its
-size bounds no task. Measured recall stands in the tests and the README.
+becomes a leaf. A node with fewer than FEW sampled rows that still stands for many goes on by its own sample's
+thresholds alone (its tail), so that leaves keep their size however many rows a sampled one stands for. Leaves that one row
+in LOOK shows to be large are cut into salted sub-blocks compared pair by pair, so that no leaf's size bounds a
+task. Measured recall stands in the tests and the README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; a null vec_id takes no part and comes back with no links and itself as
@@ -18,7 +20,6 @@ component; repeated rows count as vectors of their own; an empty table gives an
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +35,12 @@ TREES = 6
 LEAF = 512
 SAMPLE = 16_384
 STUCK = 0.3
-#: Expected rows of a leaf from which it is salted, and rows of a sub-block.
-LARGE, BLOCK = 2048, 1024
+#: Sampled rows below which a node gets no thresholds by node any more.
+FEW = 32
+#: Rows of a leaf from which it is salted, rows of a sub-block, and the share of rows that is looked at to find such leaves.
+LARGE, BLOCK, LOOK = 2048, 1024, 16
+#: Large leaves up to which their table is broadcast (24 bytes each); beyond it Spark shuffles.
+BROADCAST = 100_000
 SEED = 7
 DEEPEST = 30
 
@@ -68,19 +73,23 @@ def _prepare(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Record
 
 @dataclass
 class Trees:
-    """Directions (trees, levels, dim) and each node's threshold by tree and level; nan ends a branch."""
+    """Directions (trees, levels, dim) and each node's threshold by tree and level; nan ends a branch.
+
+    tails: of each tree the ended branches that go on, in order, and their thresholds by level; nan passes a level.
+    """
 
     dim: int
     spill: float
     directions: np.ndarray
-    thresholds: list[list[np.ndarray]]
-    blocks: dict[int, int] = field(default_factory=dict)
+    thresholds: list[list[np.ndarray]] = field(default_factory=list)
+    tails: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all rows in one tree; a row has as many as spill gives it."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         rows, codes = [], []
-        cast = x @ self.directions[tree].T if len(self.thresholds[tree]) else None
+        ended, tail = self.tails[tree]
+        cast = x @ self.directions[tree].T if len(self.thresholds[tree]) or len(ended) else None
         for level, cuts in enumerate([*self.thresholds[tree], None]):
             cut = np.full(len(row), np.nan) if cuts is None else cuts[node]
             done = np.isnan(cut)
@@ -89,11 +98,42 @@ class Trees:
             row, node, cut = row[~done], node[~done], cut[~done]
             if not len(row):
                 break
-            p = cast[row, level]
-            left, right = p <= cut + self.spill, p > cut - self.spill
-            row, node = np.concatenate([row[left], row[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
+            pick, side = self._sides(cast[row, level], cut)
+            row, node = row[pick], node[pick] * 2 + side
+        row, code = np.concatenate(rows), np.concatenate(codes)
+        if not len(ended):
+            return row, code
+        at = np.searchsorted(ended, code).clip(max=len(ended) - 1)
+        on = ended[at] == code
+        rows, codes = [row[~on]], [code[~on]]
+        row, at = row[on], at[on]
+        node = code[on] & ((1 << 44) - 1)
+        for level in range(tail.shape[1]):
+            cut = tail[at, level]
+            rest, some = np.flatnonzero(np.isnan(cut)), np.flatnonzero(~np.isnan(cut))
+            if len(some):
+                pick, side = self._sides(cast[row[some], level], cut[some])
+                pick = some[pick]
+                node = np.concatenate([node[rest], node[pick] * 2 + side])
+                row, at = np.concatenate([row[rest], row[pick]]), np.concatenate([at[rest], at[pick]])
+        deep = ((ended[at] >> 44) & 63) + (~np.isnan(tail)).sum(1)[at]
+        rows.append(row)
+        codes.append((tree << 50) | (deep << 44) | node)
         return np.concatenate(rows), np.concatenate(codes)
 
+    def _sides(self, p: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows go on, and to which side; those near the threshold go to both."""
+        left, right = np.flatnonzero(p <= cut + self.spill), np.flatnonzero(p > cut - self.spill)
+        return np.concatenate([left, right]), np.repeat([0, 1], [len(left), len(right)])
+
+
+def _threshold(p: np.ndarray, spill: float) -> float:
+    """Where sorted projections split with the fewest on both sides; nan if those are over STUCK of them."""
+    tries = p[(np.linspace(0.3, 0.7, 9) * (len(p) - 1)).astype(int)]
+    both = np.searchsorted(p, tries + spill, "right") - np.searchsorted(p, tries - spill, "right")
+    best = min(range(9), key=lambda k: (both[k], abs(k - 4)))
+    return np.nan if both[best] > STUCK * len(p) else float(tries[best])
+
 
 def fit(sample: np.ndarray, total: int, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Trees:
     """Trees for ``total`` rows of which ``sample`` (unit vectors) is a part."""
@@ -103,55 +143,74 @@ def fit(sample: np.ndarray, total: int, cosine: float = COSINE, trees: int = TRE
     directions = rng.standard_normal((trees, depth, dim))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
     # a linked pair's projections differ by about sqrt(2 - 2 cosine) / sqrt(dim): half of that to either side
-    out = Trees(dim, 0.5 * np.sqrt(max(0.0, 2 - 2 * cosine)) / np.sqrt(dim), directions, [])
+    out = Trees(dim, 0.5 * np.sqrt(max(0.0, 2 - 2 * cosine)) / np.sqrt(dim), directions)
     for t in range(trees):
-        members, levels = {0: np.arange(len(sample))}, []
+        members, levels, tails = {0: np.arange(len(sample))}, [], {}
         cast = sample @ directions[t].T
         for level in range(depth):
             cuts, below = np.full(1 << level, np.nan), {}
             for node, own in members.items():
-                if len(own) * scale <= leaf or len(own) < 8:
+                if len(own) * scale <= leaf:
                     continue
-                p = np.sort(cast[own, level])
-                tries = p[(np.linspace(0.3, 0.7, 9) * (len(p) - 1)).astype(int)]
-                both = np.searchsorted(p, tries + out.spill, "right") - np.searchsorted(p, tries - out.spill, "right")
-                best = min(range(9), key=lambda k: (both[k], abs(k - 4)))
-                if both[best] > STUCK * len(p):
+                if len(own) < FEW:
+                    tails[(t << 50) | (level << 44) | node] = _tail(cast[own], level, len(own) * scale, leaf, out.spill)
                     continue
-                cuts[node] = cut = tries[best]
                 p = cast[own, level]
-                below[2 * node], below[2 * node + 1] = own[p <= cut + out.spill], own[p > cut - out.spill]
+                cuts[node] = cut = _threshold(np.sort(p), out.spill)
+                if not np.isnan(cut):
+                    below[2 * node], below[2 * node + 1] = own[p <= cut + out.spill], own[p > cut - out.spill]
             if not below:
                 break
             levels.append(cuts)
             members = below
+        ended = np.array(sorted(tails), np.int64)
         out.thresholds.append(levels)
-        for code, n in Counter(out.leaves(sample, t)[1].tolist()).items():
-            if n * scale > LARGE:
-                out.blocks[code] = int(np.ceil(n * scale / BLOCK))
+        out.tails.append((ended, np.array([tails[k] for k in ended.tolist()]).reshape(len(ended), depth)))
     return out
 
 
-def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str) -> Iterator[pa.RecordBatch]:
-    """A row for each leaf that a vector falls in, or for each pair of sub-blocks it is in there."""
+def _tail(cast: np.ndarray, level: int, rows: float, leaf: int, spill: float) -> np.ndarray:
+    """Thresholds by level below a node that few sampled rows stand for, until a leaf is as small as the others."""
+    cuts = np.full(cast.shape[1], np.nan)
+    for at in range(level, cast.shape[1]):
+        if rows <= leaf:
+            break
+        p = np.sort(cast[:, at])
+        cuts[at] = cut = _threshold(p, spill)
+        if not np.isnan(cut):
+            rows *= max(np.searchsorted(p, cut + spill, "right"), len(p) - np.searchsorted(p, cut - spill, "right")) / len(p)
+    return cuts
+
+
+def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str, vectors: bool = True) -> Iterator[pa.RecordBatch]:
+    """A row for each leaf that a vector falls in, with the vector if asked for."""
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
             sizes = np.asarray(pa.compute.binary_length(b.column(2))) // np.dtype(kind).itemsize
             for size in np.unique(sizes):
                 own = b.take(pa.array(np.flatnonzero(sizes == size)))
-                rep = own.column(0).to_numpy()
                 x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(-1, size))
-                forest_ = trees.get(int(size))
-                for t in range(TREES if forest_ is None else len(forest_.thresholds)):
-                    row, leaf = forest_.leaves(x, t)
-                    k = np.array([forest_.blocks.get(c, 1) for c in leaf.tolist()], np.int64)
-                    salt = ((rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % k
-                    copy = np.repeat(np.arange(len(row)), k)
-                    other = np.arange(len(copy)) - np.repeat(np.cumsum(k) - k, k)
-                    i, j = np.minimum(salt[copy], other), np.maximum(salt[copy], other)
-                    cols = [pa.array(leaf[copy]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(salt[copy].astype(np.int32)), *own.take(pa.array(row[copy])).columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(copy), size, np.int32)), *cols], ["dim", "leaf", "i", "j", "salt", "rep", "n", "vec"])
+                for t in range(len(trees[int(size)].thresholds)):
+                    row, leaf = trees[int(size)].leaves(x, t)
+                    rest = own.take(pa.array(row)).columns if vectors else []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(leaf), *rest], ["dim", "leaf", "rep", "n", "vec"][: 2 + len(rest)])
+
+
+def _salted(reps: DataFrame, trees: dict[int, Trees], kind: str, scratch: Scratch) -> DataFrame:
+    """(dim, leaf, i, j, salt, rep, n, vec): each vector once for each of its leaves, or for each pair of sub-blocks it is in there."""
+    rows = reps.select("rep", "n", "vec")
+    routed = rows.mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, rep long, n long, vec binary")
+    some = rows.where(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).mapInArrow(lambda it: _route(it, trees, kind, False), "dim int, leaf long")
+    large = some.groupBy("dim", "leaf").agg((F.count("*") * LOOK).alias("rows")).where(F.col("rows") > LARGE)
+    large = scratch.table(large.select("dim", "leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("k")))
+    found = large.limit(BROADCAST + 1).count()
+    if not found:
+        none = F.lit(0)
+        return routed.select("dim", "leaf", none.alias("i"), none.alias("j"), none.alias("salt"), "rep", "n", "vec")
+    routed = routed.join(F.broadcast(large) if found <= BROADCAST else large, ["dim", "leaf"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    routed = routed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return routed.select("dim", "leaf", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "n", "vec")
 
 
 def _shared_before(x: np.ndarray, trees: Trees, leaf: int) -> np.ndarray:
@@ -215,8 +274,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF,
     for size, total in reps.groupBy((F.octet_length("vec") / np.dtype(kind).itemsize).cast("int").alias("size")).count().collect():  # a row for each length of vector
         got = reps.where(F.octet_length("vec") == size * np.dtype(kind).itemsize).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
         trees[size] = fit(_clean(np.frombuffer(b"".join(bytes(r[0]) for r in got), kind).reshape(-1, size))[0], total, cosine, n_trees, leaf)
-    routed = reps.select("rep", "n", "vec").mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, i int, j int, salt int, rep long, n long, vec binary")
-    found = scratch.table(routed.repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, trees, cosine, kind), "link boolean, a long, b long"))
+    found = scratch.table(_salted(reps, trees, kind, scratch).repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, trees, cosine, kind), "link boolean, a long, b long"))
     joined = components(found.where("link").select("a", "b"), scratch)
     counts = found.where("not link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     per = reps.select("rep", "digest", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

@@ -30,6 +30,7 @@ def test_links_and_recall(spark, monkeypatch, leaf):
     x = rows()
     monkeypatch.setattr(e, "LARGE", 64)
     monkeypatch.setattr(e, "BLOCK", 40)
+    monkeypatch.setattr(e, "LOOK", 2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = e.near_duplicates(df, leaf=leaf).toPandas().sort_values("vec_id")
     n, label = brute(x)
@@ -39,6 +40,34 @@ def test_links_and_recall(spark, monkeypatch, leaf):
         assert (got.n_links.to_numpy() == n).all() and (got.component_id.to_numpy() == label).all()
 
 
+def test_leaves_keep_their_size_beyond_the_sample():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40_000, 32))
+    x[:2000] = x[np.arange(2000) // 2] + rng.standard_normal((2000, 32)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    trees = e.fit(x[rng.choice(len(x), 400, replace=False)], len(x), leaf=64)
+    assert all(len(ended) for ended, _ in trees.tails)
+    met = np.zeros(1000, bool)
+    for t in range(e.TREES):
+        row, leaf = trees.leaves(x, t)
+        assert len(set(zip(row.tolist(), leaf.tolist(), strict=True))) == len(row) and set(row.tolist()) == set(range(len(x)))
+        assert np.bincount(np.unique(leaf, return_inverse=True)[1]).max() < 64 * 40
+        own = {}
+        for r, c in zip(row[row < 2000].tolist(), leaf[row < 2000].tolist(), strict=True):
+            own.setdefault(r, set()).add(c)
+        met |= np.array([bool(own[2 * i] & own[2 * i + 1]) for i in range(1000)])
+    near = (x[0:2000:2] * x[1:2000:2]).sum(1) >= e.COSINE
+    assert near.sum() > 500 and met[near].mean() >= 0.97
+
+
+def test_recall_beyond_the_sample(spark):
+    x = rows(1500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = e.near_duplicates(df, leaf=16, sample=100).toPandas().sort_values("vec_id")
+    n, _ = brute(x)
+    assert (got.n_links.to_numpy() <= n).all() and got.n_links.sum() >= 0.95 * n.sum()
+
+
 def test_odd_vectors(spark):
     data = [
         (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]),
