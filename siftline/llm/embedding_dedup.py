@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +188,7 @@ def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
-            sizes = np.asarray(pa.compute.binary_length(b.column(2))) // np.dtype(kind).itemsize
+            sizes = np.asarray(pc.binary_length(b.column(2))) // np.dtype(kind).itemsize
             for size in np.unique(sizes):
                 own = b.take(pa.array(np.flatnonzero(sizes == size)))
                 x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(-1, size))
