@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as t
@@ -40,3 +40,22 @@ def bm25(chunks: DataFrame) -> DataFrame:
     rows = rows.drop("idfs", "mean", "size")
     best = rows.groupBy("query_id").agg(F.max("raw").alias("best"))
     return rows.join(best, "query_id").withColumn("bm25", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw"))).drop("raw", "best", "tf")
+
+
+def tfidf(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, ``key``, similarity): cosine of each chunk's sparse TF-IDF vector with its query's; 0 if either has no token.
+
+    A chunk's tokens are counted before they are shuffled; the other side of each join has one row a token and query.
+    """
+
+    def weighted(rows: DataFrame, tokens: Column, *by: str) -> DataFrame:
+        one = rows.select(*by, tokens.alias("_t")).select(*by, F.size("_t").alias("_size"), F.explode("_t").alias("token"))
+        counts = one.groupBy(*by, "_size", "token").agg(F.count("*").alias("_n")).join(idf(chunks), ["query_id", "token"])
+        return counts.select(*by, "token", (F.col("_n") / F.col("_size") * F.col("idf")).alias("w"))
+
+    asked = weighted(chunks.select("query_id", "query").distinct(), t.tokens("query"), "query_id")
+    length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("asked_length"))
+    rows = weighted(chunks, t.tokens("text"), "query_id", key).join(asked.withColumnRenamed("w", "v"), ["query_id", "token"], "left")
+    rows = rows.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    rows = chunks.select("query_id", key).join(rows, ["query_id", key], "left").join(length, "query_id", "left")
+    return rows.select("query_id", key, F.coalesce(F.try_divide("dot", F.col("length") * F.col("asked_length")), F.lit(0.0)).alias("similarity"))

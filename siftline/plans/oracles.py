@@ -116,6 +116,17 @@ chunks AS (SELECT doc_id, doc_id // {inputs.CHUNKS} AS query_id, {_QUERY % f'doc
   CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01 06:00:00' + to_days((doc_id % 45)::INT) END AS pub_date, TIMESTAMP '{inputs.AS_OF}' AS as_of FROM documents),
 named AS (SELECT *, 'https://www.site' || ((query_id * 5 + source_idx) % 3) || '.example.com/' || query_id || '/' || source_idx AS source_url,
   'Report ' || source_idx || CASE WHEN source_idx % 2 = 0 THEN ' on erin' ELSE ' on eren' END AS source_title, source_idx <> 3 AS fetched FROM chunks)"""
+IDF = f"""{CHUNKS},
+tk AS (SELECT query_id, unnest(list_distinct({tok('text')})) AS token FROM chunks UNION ALL SELECT query_id, unnest(list_distinct({tok('query')})) FROM (SELECT DISTINCT query_id, query FROM chunks)),
+nq AS (SELECT query_id, count(*) + 1 AS n FROM chunks GROUP BY 1),
+idf AS (SELECT query_id, token, count(*) AS df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tk JOIN nq USING (query_id) GROUP BY 1, 2)"""
+TFIDF = f"""
+td AS (SELECT doc_id, query_id, unnest(t) AS token, len(t) AS size FROM (SELECT doc_id, query_id, {tok('text')} AS t FROM chunks)),
+wd AS (SELECT doc_id, query_id, token, count(*) / any_value(size)::DOUBLE * any_value(idf) AS w FROM td JOIN idf USING (query_id, token) GROUP BY 1, 2, 3),
+tq AS (SELECT query_id, unnest(t) AS token, len(t) AS size FROM (SELECT DISTINCT query_id, {tok('query')} AS t FROM chunks)),
+wq AS (SELECT query_id, token, count(*) / any_value(size)::DOUBLE * any_value(idf) AS v FROM tq JOIN idf USING (query_id, token) GROUP BY 1, 2),
+x AS (SELECT doc_id, sum(w * v) AS dot, sqrt(sum(w * w)) AS l FROM wd LEFT JOIN wq USING (query_id, token) GROUP BY 1),
+y AS (SELECT query_id, sqrt(sum(v * v)) AS l FROM wq GROUP BY 1)"""
 BM25 = f"""{CHUNKS},
 ct AS (SELECT doc_id, query_id, {tok('text')} AS tokens, {tok('query')} AS q FROM chunks),
 st AS (SELECT query_id, count(*) + 1 AS n, (sum(len(tokens)) + max(len(q)))::DOUBLE / (count(*) + 1) AS mean FROM ct GROUP BY 1),
@@ -255,7 +266,9 @@ ORACLES = {
     "merge_results": f"WITH {HITS}, {merged('(' + language('title') + ') IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'other' + chr(39) + ')')} SELECT query_id, source_idx, title, url, snippet, round(raw, 3) AS score, engines FROM merged",
     "search": f"WITH {HITS}, {merged('(' + language('title') + ') IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'other' + chr(39) + ')')} SELECT query_id, source_idx::INT AS source_idx, title, url, round(raw, 3) AS score FROM merged",
     "snippet_fallback": f"WITH {HITS}, {merged()}, pg AS (SELECT url, md5(html) AS text FROM pages WHERE floor(page_id / 10) % 4 <> 0 AND page_id % 3 <> 0), j AS (SELECT m.query_id, m.source_idx, m.snippet, pg.text AS page_text FROM merged m LEFT JOIN pg USING (url) WHERE m.source_idx < 10) SELECT query_id, source_idx, coalesce(page_text, snippet) AS text, page_text IS NOT NULL OR max((page_text IS NOT NULL)::INT) OVER (PARTITION BY query_id) = 0 AS fetched FROM j",
-    "idf_stats": f"WITH {CHUNKS}, tk AS (SELECT query_id, unnest(list_distinct({tok('text')})) AS token FROM chunks UNION ALL SELECT query_id, unnest(list_distinct({tok('query')})) FROM (SELECT DISTINCT query_id, query FROM chunks)), n AS (SELECT query_id, count(*) + 1 AS n FROM chunks GROUP BY 1) SELECT query_id, token, count(*) AS df, round(ln((any_value(n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM tk JOIN n USING (query_id) GROUP BY 1, 2",
+    "idf_stats": f"WITH {IDF} SELECT query_id, token, df, round(idf, 6) AS idf FROM idf",
+    "tfidf_cosine": f"WITH {IDF}, {TFIDF} SELECT doc_id, round(CASE WHEN x.l * y.l > 0 THEN coalesce(x.dot, 0) / (x.l * y.l) ELSE 0 END, 6) AS similarity FROM chunks LEFT JOIN x USING (doc_id) LEFT JOIN y ON y.query_id = chunks.query_id",
+    "json_rows": "SELECT to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR AS value FROM conversations",
     "bm25_scores": f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm",
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS place FROM bm QUALIFY place <= 8",
     "answer_spans": f"WITH {CHUNKS}, {SPANS} SELECT doc_id, round(score, 6) AS score, md5(s) AS sentence, length({strip('substring(text, greatest(0, instr(text, s) - 101) + 1, least(length(text), instr(text, s) - 1 + length(s) + 100) - greatest(0, instr(text, s) - 101))')})::BIGINT AS span_len FROM spans",

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from siftline.functions import dates, urls
 from siftline.functions import text as t
 from siftline.functions.chunking import chunks as cut
+from siftline.functions.chunking import hashed
 from siftline.functions.dom import with_text
 from siftline.operators import context, lexical, merge, quality, ranking
 from siftline.plans import inputs
 from siftline.plans.engine import Engine
 from siftline.sources.scratch import materialized
-from siftline.sources.tables import page_texts, prompt_name, table
+from siftline.sources.tables import as_json, page_texts, prompt_name, table
 
 #: Links of both engines, with the targets they should give.
 LINKS = [
@@ -148,6 +149,10 @@ def chunk_text(s, d):
     return documents(s, d).select("doc_id", F.posexplode(cut("text")).alias("chunk_idx", "chunk"))
 
 
+def semantic_chunks(s, d):
+    return documents(s, d).select("doc_id", F.posexplode(cut("text", embed=hashed)).alias("chunk_idx", "chunk"))
+
+
 def chunk_filter(s, d):
     return quality.chunked(documents(s, d).select("doc_id", "text")).select("doc_id", "chunk_idx", "text")
 
@@ -156,6 +161,10 @@ def idf_stats(s, d):
     return lexical.idf(inputs.chunks(s, d)).select("query_id", "token", "df", F.round("idf", 6).alias("idf"))
 
 
+def tfidf_cosine(s, d):
+    return lexical.tfidf(inputs.chunks(s, d)).select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 def bm25_scores(s, d):
     return lexical.bm25(inputs.chunks(s, d)).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
@@ -261,6 +270,10 @@ def prompt_file_name(s, d):
     return rows.select("query_id", prompt_name(F.col("query"), F.col("as_of")).alias("file_name"))
 
 
+def json_rows(s, d):
+    return as_json(table(s, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def search(s, d):
     engine = Engine(inputs.hits(s, d), page_texts(table(s, d, "pages")))
     return engine.search(inputs.queries(s, d)).select("query_id", "source_idx", "title", "url", "score")
@@ -278,8 +291,8 @@ def ask(s, d):
 
 _OPERATORS = (
     lang_detect, url_normalize, url_domain, redirect_unwrap, publish_date, tokenize_df, sentence_split, query_topk, query_weights, query_profile, news_flag, factual_flag,
-    garbage_lines, chunk_incomplete, chunk_low_quality, content_page, hit_admission, merge_results, snippet_fallback, html_extract, page_fetch, chunk_text, chunk_filter,
-    idf_stats, bm25_scores, bm25_topk, answer_spans, hybrid_score, semantic_prefilter, semantic_topk, hybrid_semantic, near_dedup, source_caps, mmr_select, island_merge,
-    confidence, source_relevance, ghost_sources, rerank, context_build, source_list, freshness_warning, prompt_build, prompt_file_name, search, search_and_read, ask,
+    garbage_lines, chunk_incomplete, chunk_low_quality, content_page, hit_admission, merge_results, snippet_fallback, html_extract, page_fetch, chunk_text, semantic_chunks, chunk_filter,
+    idf_stats, tfidf_cosine, bm25_scores, bm25_topk, answer_spans, hybrid_score, semantic_prefilter, semantic_topk, hybrid_semantic, near_dedup, source_caps, mmr_select, island_merge,
+    confidence, source_relevance, ghost_sources, rerank, context_build, source_list, freshness_warning, prompt_build, prompt_file_name, json_rows, search, search_and_read, ask,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}

@@ -62,5 +62,5 @@ def save_prompts(prompts: DataFrame, folder: str) -> None:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """A JSON object a row, letters as they are."""
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    """A JSON object a row, letters as they are, nulls written out."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

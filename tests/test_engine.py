@@ -96,6 +96,7 @@ def test_fetcher(spark):
 
 def test_json(spark):
     assert as_json(spark.createDataFrame([(1, "é")], "a int, b string")).first()[0] == '{"a":1,"b":"é"}'
+    assert as_json(spark.createDataFrame([(1, None)], "a int, b string")).first()[0] == '{"a":1,"b":null}'
 
 
 def test_stream(spark, tmp_path):

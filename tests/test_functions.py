@@ -1,9 +1,12 @@
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import dates, urls
 from siftline.functions import text as t
-from siftline.functions.chunking import by_meaning, by_size
+from siftline.functions.chunking import by_meaning, by_size, chunks, hashed
 from siftline.functions.dom import read
 
 
@@ -102,3 +105,27 @@ def test_chunks_by_meaning():
 @pytest.mark.parametrize("texts", [["a b b c"], [""]])
 def test_most_frequent(spark, texts):
     assert column(spark, lambda x: t.most_frequent(t.pieces(x)), texts) == [max([0, *(x.split().count(w) for x in texts for w in x.split())])]
+
+
+def test_semantic_chunks_of_whole_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    met = 0
+    for text, got in rows.select("text", chunks("text", embed=hashed)).collect():
+        sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text or "") if s.strip()]
+        x = [hashed([s])[0] for s in sentences]
+        near = [float(a @ b) / max(float((a @ a) * (b @ b)) ** 0.5, 1e-12) for a, b in itertools.pairwise(x)]
+        if len(sentences) < 3:
+            assert got == ([text] if text else [])
+            continue
+        ordered, at = sorted(near), 0.3 * (len(near) - 1)
+        low, part = int(at), at - int(at)
+        least = ordered[low] + part * (ordered[min(low + 1, len(near) - 1)] - ordered[low])
+        want = [[sentences[0]]]
+        for s, n in zip(sentences[1:], near, strict=True):
+            if n < least - 1e-9 or sum(map(len, want[-1])) + len(s) > 600:
+                want.append([])
+            want[-1].append(s)
+        if len(want) > 1 and all(abs(n - least) > 1e-9 or n == least for n in near):
+            met += 1
+            assert got == [" ".join(w) for w in want]
+    assert met > 50
