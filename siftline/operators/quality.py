@@ -15,8 +15,9 @@ def good_chunks(parts: Column | str) -> Column:
     return F.filter(F.transform(parts, t.without_garbage), lambda x: (F.length(x) >= 50) & ~t.is_incomplete(x) & ~t.is_low_quality(x))
 
 
-def chunked(pages: DataFrame, size: int = 600, overlap: int = 100, limit: int = 12000) -> DataFrame:
-    """A row a good chunk, numbered after filtering, of rows with text; a page's text is cut to ``limit`` first. Snippets stay whole."""
+def chunked(pages: DataFrame, size: int = 600, overlap: int = 100, limit: int | None = None) -> DataFrame:
+    """A row a good chunk, numbered after filtering, of rows with text; a fetched page's text is cut to ``limit`` first, where there is one. Snippets stay whole."""
     whole = F.coalesce(F.col("fetched"), F.lit(True)) if "fetched" in pages.columns else F.lit(True)
-    parts = F.when(whole, good_chunks(chunks(F.col("text").substr(1, limit), size, overlap))).otherwise(F.array("text"))
+    text = F.col("text") if limit is None else F.col("text").substr(1, limit)
+    parts = F.when(whole, good_chunks(chunks(text, size, overlap))).otherwise(F.array("text"))
     return pages.withColumn("_parts", parts).drop("text").select("*", F.posexplode("_parts").alias("chunk_idx", "text")).drop("_parts")
