@@ -3,9 +3,11 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Information-theoretic sanitisation adds
 terms: over the whole corpus, the words within NEAR words of an entity (a base span's value) are counted
 with it. A term discloses an entity if, of the documents that hold the term, a share of at least SHARE
-holds it beside that entity, that is at least BITS bits above the entity's own frequency, and the two
-meet in at least CONTEXTS different contexts (copies of a passage are one context). Every occurrence of a disclosing term
-is generalised like a base span.
+holds it beside that entity, that is at least BITS bits above the entity's own frequency, and chance does not explain
+that: the surprise of so many meetings (Chernoff's bound on the binomial tail, in bits) is BITS or more above the logarithm of the number
+of pairs looked at. Meetings are documents, but no more than there are different contexts (copies of a passage are one). How often
+an entity has to be seen follows from that: two documents are enough in most corpora, one is where few pairs
+are looked at for the number of documents. Every occurrence of a disclosing term is generalised like a base span.
 
 Defined results: null text is empty text and has no spans; a null doc_id is allowed; repeated rows get equal results and count as
 documents of their own; an empty table gives an empty result; other columns are kept by ``sanitise`` and ignored by ``find``.
@@ -13,6 +15,8 @@ documents of their own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ from siftline.llm.common import Scratch
 from siftline.llm.spans import occurrences, replaced
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, CONTEXTS, SHARE, BITS = 8, 3, 0.5, 4.0
+NEAR, SHARE, BITS = 8, 0.5, 4.0
 #: Characters on either side from which context words are taken, and the shortest word that counts.
 AROUND, LEAST = 240, 4
 #: Rows up to which a table of terms or spans is broadcast (under 100 bytes each); beyond it Spark shuffles.
@@ -79,33 +83,43 @@ def _words(x: Column) -> Column:
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(doc_id, k, entity, context, term): the words around each entity, from (doc_id, k, base, t) of documents with spans."""
-    one = rows.select("doc_id", "k", "t", F.explode("base").alias("x"))
+    """(row, entity, context, term): the words around each entity, from (row, base, t) of documents with spans."""
+    one = rows.select("row", "t", F.explode("base").alias("x"))
     before = F.substring(F.col("t"), F.greatest(F.lit(1), F.col("x.s") + 1 - AROUND), F.least(F.lit(AROUND), F.col("x.s")))
     after = F.substring(F.col("t"), F.col("x.e") + 1, F.lit(AROUND))
     left, right = _words(before), _words(after)
     left = F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR + 1), NEAR)
     words = F.array_distinct(F.concat(left, F.slice(right, 1, NEAR)))
     entity = F.concat(F.col("x.kind"), F.lit(":"), F.lower(F.when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.v", "[^0-9]", "")).otherwise(F.col("x.v"))))
-    return one.select("doc_id", "k", entity.alias("entity"), F.xxhash64(words).alias("context"), F.explode(words).alias("term"))
+    return one.select("row", entity.alias("entity"), F.xxhash64(words).alias("context"), F.explode(words).alias("term"))
+
+
+def _surprise(meetings: Column, share: Column, own: Column) -> Column:
+    """Bits by which chance falls short of ``meetings`` that are this share of a term's documents, for an entity in a share ``own`` of all."""
+    rest = F.when(share < 1, (1 - share) * F.log2((1 - share) / F.greatest(1 - own, F.lit(1e-12)))).otherwise(0.0)
+    return meetings / share * (share * F.log2(share / own) + rest)
 
 
 def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(term) of the corpus that disclose some entity. base: (doc_id, k, entity) of all spans' contexts' documents, a row a document."""
-    pairs = contexts.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "k").alias("together"))
-    # a term is held by all documents that have it beside any entity: those alone rule most pairs out, and no pair that could pass
-    beside = contexts.groupBy("term").agg(F.count_distinct("doc_id", "k").alias("beside"))
-    pairs = scratch.table(pairs.where(F.col("contexts") >= CONTEXTS).join(beside, "term").where(F.col("together") >= SHARE * F.col("beside")))
+    """(term) of the corpus that disclose some entity. base: (row, entity) of all spans' contexts' documents, a row a document."""
+    pairs = scratch.table(contexts.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("together")))
+    total, tested = docs.count(), pairs.count()
+    least = BITS + math.log2(max(tested, 1))
+    own = base.groupBy("entity").agg((F.count("*") / total).alias("own"))
+    pairs = pairs.withColumn("meetings", F.least("contexts", "together")).join(_maybe(own), "entity")
+    # the fewer documents hold a term, the greater the surprise; they are no fewer than those that have it beside this entity, or beside any
+    pairs = scratch.table(pairs.where(_surprise(F.col("meetings"), F.lit(1.0), F.col("own")) >= least))
+    beside = contexts.groupBy("term").agg(F.count_distinct("row").alias("beside"))
+    share = F.col("together") / F.col("beside")
+    pairs = scratch.table(pairs.join(beside, "term").where((share >= SHARE) & (_surprise(F.col("meetings"), share, F.col("own")) >= least)))
     terms = scratch.table(pairs.select("term").distinct())
     if terms.isEmpty():
         return terms
     held = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
     often = held.join(_maybe(terms), "term").groupBy("term").agg(F.count("*").alias("held"))
-    total = docs.count()
-    own = base.groupBy("entity").agg(F.count("*").alias("own"))
     share = F.col("together") / F.col("held")
-    bits = F.log2(share) - F.log2(F.col("own") / total)
-    return scratch.table(pairs.join(often, "term").join(own, "entity").where((share >= SHARE) & (bits >= BITS)).select("term").distinct())
+    bits = F.log2(share) - F.log2("own")
+    return scratch.table(pairs.join(often, "term").where((share >= SHARE) & (bits >= BITS) & (_surprise(F.col("meetings"), share, F.col("own")) >= least)).select("term").distinct())
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -122,9 +136,9 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, k, base) of all documents, a row a row, and (doc_id, k, terms) of those with disclosing terms (None if no term does)."""
     scratch = scratch or Scratch(docs.sparkSession, "pii")
-    rows = scratch.table(_key(docs.select("doc_id", "text")).select("doc_id", "k", base_spans(F.col("t")).alias("base"), "t").withColumn("t", F.when(F.size("base") > 0, F.col("t"))))
+    rows = scratch.table(_key(docs.select("doc_id", "text")).select("doc_id", "k", base_spans(F.col("t")).alias("base"), "t").withColumn("t", F.when(F.size("base") > 0, F.col("t"))).withColumn("row", F.monotonically_increasing_id()))
     contexts = scratch.table(_contexts(rows.where(F.size("base") > 0)))
-    base = contexts.select("doc_id", "k", "entity").distinct()
+    base = contexts.select("row", "entity").distinct()
     terms = disclosing(docs, base, contexts, scratch)
     spans = None if terms.isEmpty() else scratch.table(term_spans(docs, terms))
     return rows.select("doc_id", "k", "base"), spans
