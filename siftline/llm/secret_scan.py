@@ -1,10 +1,12 @@
 """Secret scans with a random forest that removes false positives, in SQL functions alone.
 
-Candidates are long tokens that hold a digit or mixed case, and what follows a credential-like name and a sign of assignment. Each has
+Candidates are private key blocks, the values of 8 or more characters (quoted ones with whatever they hold) that follow a credential-like
+name and a sign of assignment, and long tokens that hold a digit or mixed case. Each has
 features of its length, its character transitions, the share of it that dictionary words cover, what makes it a path, and
 the words beside it. The forest is trained in numpy on labelled findings, made by ``labelled_findings`` from the
 formats and the look-alikes listed there (the corpus has none), whose features come from the same SQL expressions; it scores as
-nested CASE expressions. Candidates that half of its votes call secret are findings.
+nested CASE expressions. Candidates that half of its votes call secret are findings. A row's candidates stay an array in that
+row from the search to the result: nothing is shuffled, and rows that share an id or have none keep their own findings.
 
 Defined results: null text is empty and has none; repeated rows get equal results; a null doc_id is allowed; candidates in very long texts
 are all looked at; an empty table gives an empty result; other columns are ignored.
@@ -28,8 +30,14 @@ FINDINGS = 3000
 #: Characters looked at before and after a candidate.
 BESIDE = 48
 _CHAR = r"A-Za-z0-9+/_=.~%:@-"
-#: A run of token characters of at least 12 (the shortest secret that is looked for, with its name).
-CANDIDATE = rf"(?<![{_CHAR}])[{_CHAR}]{{12,}}+"
+NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?|key)"
+#: A credential-like name, which may be part of a longer one, and a sign of assignment.
+_NAMED = rf"[A-Za-z0-9_.-]{{0,40}}?(?i:{NAMES})[A-Za-z0-9_.-]{{0,40}}?[\"']?[\x20\t]{{0,3}}(?::=|=>|[=:])[\x20\t]{{0,3}}"
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?+"
+ASSIGNED = rf"(?<![A-Za-z0-9_.-]){_NAMED}(?:\"[^\"\n]{{8,}}+\"|'[^'\n]{{8,}}+'|[^\s\"'<>]{{8,}}+)"
+#: A run of token characters of at least 12: shorter ones are looked at with a name alone.
+TOKEN = rf"(?<![{_CHAR}])[{_CHAR}]{{12,}}+"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{TOKEN}"
 #: Words that names, paths and identifiers are made of.
 DICTIONARY = (
     "about access account action active admin agent alert alias allow application archive array article assets async attribute author backup base batch binary block board branch browser buffer build button cache call center change channel check child class "
@@ -40,14 +48,10 @@ DICTIONARY = (
     "query queue random record release remote render report request resource response result return route sample schema script search section secret security select server service session setting shared simple site size source static status storage store stream string style system table target task template test "
     "text theme thread time title token tool total track type update upload user util value version video view visitor website window worker world your"
 ).split()
-NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?|key)"
-FEATURES = ("length", "changes", "digits", "uppers", "hexes", "kinds", "covered", "slashes", "dots", "path", "named", "hashed", "dummy", "provider", "vowels", "repeats", "letters", "dashed")
-
-
-def _split(x: Column) -> Column:
-    """Name and value of a candidate: what stands before and after its first = or :, if a name does."""
-    named = F.lower(x).rlike(rf"^[a-z0-9_.-]*{NAMES}[a-z0-9_.-]*[=:]")
-    return F.when(named, F.regexp_extract(x, r"^[^=:]*[=:]+", 0)).otherwise(F.lit(""))
+FEATURES = (
+    "length", "changes", "digits", "uppers", "hexes", "kinds", "covered", "slashes", "dots", "path", "named", "hashed", "dummy", "provider", "vowels", "repeats", "letters", "dashed",
+    "password", "quoted", "spaces", "symbols", "code", "block",
+)
 
 
 def features(value: Column, before: Column, after: Column) -> list[Column]:
@@ -67,7 +71,7 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         part("/"),
         part(r"\."),
         flag(low.rlike(r"^(?:[a-z]+:)?//|^[.~]?/|\.(?:[a-z]{2,4}|json|html|yaml)(?:$|[?#])|^[a-z]:|@[a-z0-9-]+\.[a-z]")),
-        flag(F.lower(before).rlike(rf"{NAMES}[^a-z0-9]{{0,4}}$")),
+        flag(F.lower(before).rlike(rf"{NAMES}(?:[^a-z0-9]{{0,4}}|[a-z0-9_.-]{{0,40}}[\"']?[\x20\t]{{0,3}}(?::=|=>|[=:])[\x20\t]{{0,3}}[\"']?)$")),
         flag(near.rlike(r"sha-?(?:1|2|256|512)|md5|commit|checksum|digest|integrity|revision|uuid|guid|fingerprint|etag|hash")),
         flag(F.concat(low, F.lit(" "), near).rlike(r"example|placeholder|changeme|your[_-]|dummy|xxxx|sample|\*{3}|1234567890|<[a-z]")),
         flag(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^sk[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{30,}|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.|^glpat-|^npm_[A-Za-z0-9]{30,}")),
@@ -75,18 +79,26 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         part(r"(.)\1"),
         part("[a-zA-Z]"),
         flag(value.rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9][0-9 .:/-]*$")),
+        flag(F.lower(before).rlike(r"(?:pass|pwd|secret|credential)[a-z0-9_.-]{0,40}[\"']?[\x20\t]{0,3}(?::=|=>|[=:])[\x20\t]{0,3}[\"']?$")),
+        flag(before.rlike("[\"']$")),
+        part(r"\s"),
+        part(r"[^A-Za-z0-9\s]"),
+        flag(value.rlike(r"[({\[$<][A-Za-z_]|\(\)|^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$")),
+        flag(value.rlike("^-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
     ]
 
 
 def candidates(text: Column) -> Column:
-    """Array of (s, e, v, before, after): candidates' values, names cut off, with what stands beside them."""
-    found = F.filter(occurrences(text, CANDIDATE, "secret"), lambda x: x["v"].rlike("[0-9]") | x["v"].rlike("[a-z][A-Z].*[a-z][A-Z]|[A-Z]{16}") | F.lower(x["v"]).rlike(rf"{NAMES}[=:]"))
+    """Array of (s, e, v, before, after): candidates' values, names and quotes cut off, with what stands beside them."""
+    has = lambda x: x.rlike("[0-9]") | x.rlike("[a-z][A-Z].*[a-z][A-Z]|[A-Z]{16}")
+    found = F.filter(occurrences(text, CANDIDATE, "secret"), lambda x: x["v"].startswith("-----BEGIN ") | has(x["v"]) | x["v"].rlike(f"^{_NAMED}"))
 
     def cut(x: Column) -> Column:
-        name = F.length(_split(x["v"]))
-        end = F.length(F.regexp_extract(x["v"], r"[.:=,]*$", 0))
-        pad = F.when(x["v"].rlike("[A-Za-z0-9+/]={1,2}$"), 0).otherwise(end)
-        s, e = x["s"] + name, x["e"] - pad
+        block = x["v"].startswith("-----BEGIN ")
+        name = F.when(block, 0).otherwise(F.length(F.regexp_extract(x["v"], f"^{_NAMED}[\"']?", 0)))
+        quoted = F.when(block, False).otherwise(x["v"].rlike(f"^{_NAMED}[\"']"))
+        end = F.when(block | x["v"].rlike("[A-Za-z0-9+/]={1,2}$"), 0).when(quoted, 1).otherwise(F.length(F.regexp_extract(x["v"], r"[.:=,;)\]}]*$", 0)))
+        s, e = x["s"] + name, x["e"] - end
         back = F.least(F.lit(BESIDE), s)
         return F.struct(s.alias("s"), e.alias("e"), F.substring(text, s + 1, e - s).alias("v"), F.substring(text, s - back + 1, back).alias("before"), F.substring(text, e + 1, F.lit(BESIDE)).alias("after"))
 
@@ -104,9 +116,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     names = ["password", "passwd", "token", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
     signs = ['="', " = ", "=", ": ", ' = "', "='", ":"]
 
+    def strong() -> str:
+        return f"{prose()} {rng.choice(['password', 'passwd', 'DB_PASSWORD', 'admin_pwd', 'client_secret', 'passphrase'])}{rng.choice(['=', ' = ', ': ', ' := ', ':'])}{quote}"
+
     def secret() -> tuple[str, str]:
         name = f"{prose()} {rng.choice(names)}{rng.choice(signs)}"
-        kind = rng.randrange(9)
+        kind = rng.randrange(13)
         if kind == 0:
             return prose() + " ", rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16)
         if kind == 1:
@@ -120,11 +135,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
         if kind == 6:
             return name, pick(alnum + "+/", rng.choice([20, 24, 32, 40, 44]))
         if kind == 7:
-            return name, pick(alnum, rng.randint(10, 24))
+            return name, pick(alnum, rng.randint(8, 24))
+        if kind == 8:
+            return strong(), pick(alnum + "!#$%&*@^", rng.randint(8, 20))
+        if kind == 9:  # a word or two with figures and signs, as people choose them
+            return strong(), rng.choice([word().capitalize(), word()]) + rng.choice("!#$%*_-") + rng.choice([word(), word().capitalize()]) + str(rng.randint(1, 2050)) + rng.choice(["", "!", "#"])
+        if kind == 10:
+            return strong(), rng.choice(["", "-", "_"]).join(word() for _ in range(rng.randint(3, 5)))
+        if kind == 11:
+            head = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+            return prose() + " ", f"-----BEGIN {head}PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", rng.choice([64, 64, rng.randint(8, 64)])) for _ in range(rng.randint(1, 20))) + f"\n-----END {head}PRIVATE KEY-----"
         return prose() + " ", rng.choice(["AIza" + pick(alnum + "_-", 35), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "npm_" + pick(alnum, 36), "glpat-" + pick(alnum, 20)])
 
     def other() -> tuple[str, str]:
-        kind = rng.randrange(13)
+        kind = rng.randrange(17)
         some = [rng.choice(DICTIONARY) for _ in range(rng.randint(2, 5))]
         if kind == 0:
             return rng.choice(["commit ", "sha256:", "md5 ", "checksum ", "integrity sha512-", "revision "]), pick(hexes, rng.choice([32, 40, 64]))
@@ -150,10 +174,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
             return prose() + " ", ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == 11:
             return prose() + " ", (word() + word() + word() + word()).upper() + rng.choice(["", "1"])
+        if kind == 13:  # what a setting's name is followed by, other than a value
+            return f"{prose()} {rng.choice(names + ['key', 'auth', 'author', 'keyword'])}{rng.choice([': ', ' = ', '='])}{quote}", rng.choice([rng.choice(some) + rng.choice(some), word() + word(), "required", "disabled", "(optional)", "undefined", some[0] + "_id", ".".join(some)])
+        if kind == 14:
+            return f"{prose()} {rng.choice(names)}{rng.choice([' = ', '=', ': '])}{quote}", rng.choice([f"${{{'_'.join(some).upper()}}}", f"os.environ[{some[0].upper()}", f"get_{some[0]}({some[1]})", f"{{{{ {some[0]}_{some[1]} }}}}", f"config.{some[0]}.{some[1]}", f"${some[0].upper()}_{some[1].upper()}", f"<your-{some[0]}>", f"load_{some[0]}()"])
+        if kind == 15:
+            return f"{prose()} {rng.choice(['key', 'token', 'author', 'auth', 'password', 'keynote', 'secret'])}{rng.choice([': ', ' = ', '='])}{rng.choice(chr(34) + chr(39))}", " ".join(word() for _ in range(rng.randint(2, 12))) + rng.choice(["", ".", "?"])
+        if kind == 16:
+            return f"{prose()} {rng.choice(['key', 'Key', 'keyword', 'author', 'token', 'auth'])}{rng.choice([': ', ':'])}", rng.choice([word() + word(), word().capitalize() + word(), "-".join([word(), word()]), word() + word() + "."])
         return prose() + " ", "-".join(some) + f"-{rng.randint(1, 99)}.{rng.randint(0, 9)}"
 
     out = []
     for i in range(n):
+        quote = rng.choice(['"', '"', "'", ""])
         before, value = (secret if i % 2 else other)()
         out.append((before[-BESIDE:], value, rng.choice(['"', " ", ""]) + " " + prose(), i % 2))
     return out
@@ -199,9 +232,10 @@ def _case(tree: tuple, column: str) -> str:
 
 
 def vote(forest: list[tuple], column: str) -> Column:
-    """The trees' mean share of secrets for an array column of features."""
+    """``column``, an array of (s, e, v, x), as an array of (s, e, v, chance): the trees' mean share of secrets for features x."""
     # within a higher-order function the trees are evaluated as they are: as generated code they outgrow a Java method
-    return F.expr(f"transform(array({column}), v -> (" + " + ".join(_case(t, "v") for t in forest) + f") / {len(forest)}D)[0]")
+    chance = "(" + " + ".join(_case(t, "z.x") for t in forest) + f") / {len(forest)}D"
+    return F.expr(f"transform({column}, z -> named_struct('s', z.s, 'e', z.e, 'v', z.v, 'chance', {chance}))")
 
 
 @lru_cache(maxsize=4)
@@ -212,21 +246,26 @@ def _trained(n: int, seed: int, app: str) -> tuple:
     return tuple(train(np.array([r[1] for r in got]), np.array([r[0] for r in got], float)))
 
 
+def scanned(docs: DataFrame, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
+    """(doc_id, found): a row a document, found the array of (s, e, v, chance) of its candidates."""
+    forest = _trained(n, seed, docs.sparkSession.sparkContext.applicationId)
+    measured = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["v"].alias("v"), F.array(*features(c["v"], c["before"], c["after"])).alias("x"))
+    rows = docs.select("doc_id", F.transform(candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))), measured).alias("_c"))
+    return rows.select("doc_id", vote(list(forest), "_c").alias("found"))
+
+
 def scan(docs: DataFrame, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
     """(doc_id, s, e, v, chance) of all candidates."""
-    forest = _trained(n, seed, docs.sparkSession.sparkContext.applicationId)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.explode(candidates(text)).alias("c")).select("doc_id", "c.*")
-    rows = rows.withColumn("x", F.array(*features(F.col("v"), F.col("before"), F.col("after"))))
-    return rows.withColumn("chance", vote(list(forest), "x")).select("doc_id", "s", "e", "v", "chance")
+    return scanned(docs, n, seed).select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
+
+
+def secrets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_candidates, n_secrets, spans): how many candidates there are, and the findings the forest keeps with their places."""
+    rows = scanned(docs).select("doc_id", F.size("found").cast("long").alias("n_candidates"), F.filter("found", lambda c: c["chance"] >= 0.5).alias("kept"))
+    at = F.transform("kept", lambda c: F.concat_ws(":", c["s"].cast("string"), c["e"].cast("string")))
+    return rows.select("doc_id", "n_candidates", F.size("kept").cast("long").alias("n_secrets"), F.array_join(at, ",").alias("spans"))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """All documents: their candidates, the findings the forest keeps, and the findings' places and chances."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = F.struct("s", "e", F.concat_ws(":", F.col("s").cast("string"), F.col("e").cast("string")).alias("at"))
-    kept = F.col("chance") >= 0.5
-    found = scan(docs).groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.count_if(kept).alias("n_secrets"), F.array_sort(F.collect_list(F.when(kept, place))).alias("p"))
-    out = docs.select("doc_id").join(found.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i")), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", zero("n_candidates"), zero("n_secrets"), F.coalesce(F.array_join(F.transform("p", lambda x: x["at"]), ","), F.lit("")).alias("spans"))
+    """All documents: their candidates, the findings the forest keeps, and the findings' places."""
+    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
