@@ -27,7 +27,7 @@ def plain_features(value, before, after):
         flag(rf"{s.NAMES}(?:[^a-z0-9]{{0,4}}|[a-z0-9_.-]{{0,40}}{sign})$", before.lower()),
         flag(r"sha-?(?:1|2|256|512)|md5|commit|checksum|digest|integrity|revision|uuid|guid|fingerprint|etag|hash", near),
         flag(r"example|placeholder|changeme|your[_-]|dummy|xxxx|sample|\*{3}|1234567890|<[a-z]", f"{low} {near}"),
-        flag(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^sk[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{30,}|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.|^glpat-|^npm_[A-Za-z0-9]{30,}", value),
+        flag(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^sk[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{30,}|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.|^glpat-|^npm_[A-Za-z0-9]{30,}|^-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", value),
         part("[aeiouAEIOU]"),
         part(r"(.)\1"),
         part("[a-zA-Z]"),
@@ -37,7 +37,6 @@ def plain_features(value, before, after):
         part(r"[ \t\n\x0b\f\r]"),
         part(r"[^A-Za-z0-9 \t\n\x0b\f\r]"),
         flag(r"[({\[$<][A-Za-z_]|\(\)|^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$", value),
-        flag("^-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", value),
     ]
 
 
