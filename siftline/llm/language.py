@@ -1,6 +1,6 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text is cut at white space; a word's lower-cased UTF-8 bytes (longer ones in pieces of PIECE) are one
+A text is cut at white space; a word's lower-cased UTF-8 bytes (longer ones in pieces of up to PIECE, cut between characters) are one
 sequence. The network reads it both ways and gives every byte position a probability for each label; a
 document's probabilities are the mean over all its positions. A sequence's positions don't depend on its
 neighbours, so each distinct word of a batch goes through the network once and counts as often as it
@@ -15,6 +15,7 @@ every text is ``und``; equal texts get equal results; an empty table gives an em
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from siftline.llm.common import least_hashed
 DOCS, WINDOW = 400, 600
 HIDDEN, PIECE = 16, 24
 STEPS, BATCH, RATE = 700, 256, 0.01
-#: Characters of text taken at once.
+#: Characters of text taken at once; longer texts are cut at the next white space, which changes no sequence.
 TAKEN = 12 << 20
 PART = 1 << 20
 
@@ -108,8 +109,10 @@ def train(samples: dict[str, list[bytes]], hidden: int = HIDDEN, steps: int = ST
     weight: dict[int, int] = {}
     for k, label in enumerate(labels):
         for word in samples[label]:
-            for i in range(0, len(word), PIECE):
-                piece = np.frombuffer(word[i : i + PIECE], np.uint8)
+            whole = np.frombuffer(word, np.uint8)
+            edges = [*cuts(whole, np.arange(0, len(word), PIECE)), len(word)]
+            for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+                piece = whole[lo:hi]
                 by_size.setdefault(len(piece), [[] for _ in labels])[k].append(piece)
                 weight[len(piece)] = weight.get(len(piece), 0) + 1
     if not by_size:
@@ -146,6 +149,14 @@ def fit(docs: DataFrame, per_label: int = DOCS, window: int = WINDOW) -> Network
     return train({k: v for k, v in samples.items() if v})
 
 
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places moved back to where a character of UTF-8 begins, three bytes at most."""
+    at = at.copy()
+    for _ in range(3):
+        at -= (data[at] & 0xC0) == 0x80 if len(data) else 0
+    return at
+
+
 def _word_sums(words: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray]:
     """Of each distinct word: its positions' probabilities, summed, and their number."""
     offsets = np.frombuffer(words.buffers()[1], np.int32 if words.type in (pa.string(), pa.binary()) else np.int64)[words.offset : words.offset + len(words) + 1].astype(np.int64)
@@ -154,8 +165,9 @@ def _word_sums(words: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray]:
     n = -(-size // PIECE)
     word = np.repeat(np.arange(len(words)), n)
     k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[word] + k * PIECE
-    length = np.minimum(size[word] - k * PIECE, PIECE)
+    start = cuts(data, offsets[word] + k * PIECE)
+    last = np.r_[word[1:] != word[:-1], True][: len(word)]
+    length = np.where(last, offsets[word + 1], np.r_[start[1:], 0][: len(word)]) - start
     sums = np.zeros((len(words), len(net.labels)))
     for s in np.unique(length):
         own = np.flatnonzero(length == s)
@@ -181,6 +193,16 @@ def _pooled(texts: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray]:
     return out, run[at[1:]] - run[at[:-1]]
 
 
+def parts(text: str) -> Iterator[str]:
+    """A text cut at white space into pieces of PART characters and the word they end in."""
+    at = 0
+    for m in re.finditer(r"[\x20\x09-\x0D]", text) if len(text) > PART else ():
+        if m.start() - at >= PART:
+            yield text[at : m.start()]
+            at = m.end()
+    yield text[at:]
+
+
 def _predict(batches: Iterator[pa.RecordBatch], net: Network, called: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     names = np.array([*net.labels, "und"], object)
     for b in batches:
@@ -193,7 +215,7 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network, called: tuple[str,
             if not net.labels:
                 sums, n = np.zeros((len(own), 0)), np.zeros(len(own))
             elif lengths[own].max() > PART:  # a long text goes through in parts
-                cut = [(i, t[k : k + PART]) for i, t in enumerate(texts.to_pylist()) for k in range(0, max(len(t), 1), PART)]
+                cut = [(i, x) for i, t in enumerate(texts.to_pylist()) for x in parts(t)]
                 sums, n = np.zeros((len(own), len(net.labels))), np.zeros(len(own))
                 for k in range(0, len(cut), 16):
                     s, m = _pooled(pa.array([t for _, t in cut[k : k + 16]], pa.string()), net)
