@@ -31,12 +31,16 @@ FINDINGS = 4000
 BESIDE = 48
 _CHAR = r"A-Za-z0-9+/_=.~%:@-"
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?|key)"
+_SIGN = r"[\"']?[\x20\t]{0,3}(?::=|=>|[=:])[\x20\t]{0,3}"
 #: A credential-like name, which may be part of a longer one, and a sign of assignment.
-_NAMED = rf"[A-Za-z0-9_.-]{{0,40}}?(?i:{NAMES})[A-Za-z0-9_.-]{{0,40}}?[\"']?[\x20\t]{{0,3}}(?::=|=>|[=:])[\x20\t]{{0,3}}"
+_NAME = rf"(?=[aAbBcCkKpPsStT])(?i:{NAMES})[A-Za-z0-9_.-]{{0,40}}?{_SIGN}"
+_NAMED = rf"[A-Za-z0-9_.-]{{0,80}}?{_NAME}"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?+"
-ASSIGNED = rf"(?<![A-Za-z0-9_.-]){_NAMED}(?:\"[^\"\n]{{8,}}+\"|'[^'\n]{{8,}}+'|[^\s\"'<>]{{8,}}+)"
-#: A run of token characters of at least 12: shorter ones are looked at with a name alone.
-TOKEN = rf"(?<![{_CHAR}])[{_CHAR}]{{12,}}+"
+ASSIGNED = rf"{_NAME}(?:\"[^\"\n]{{8,}}+\"|'[^'\n]{{8,}}+'|[^\s\"'<>]{{8,}}+)"
+#: A run of token characters of at least 12 that is not itself the name of what follows: shorter ones are looked at with a name alone.
+TOKEN = (
+    rf"(?<![{_CHAR}])[{_CHAR}]{{12,}}+(?!(?<=(?i:{NAMES})[A-Za-z0-9_.-]{{0,20}}){_SIGN}|(?<=(?i:{NAMES})[A-Za-z0-9_.-]{{0,20}}[=:]{{1,2}})[\x20\t]{{0,3}}[^\s<>])"
+)
 CANDIDATE = f"{BLOCK}|{ASSIGNED}|{TOKEN}"
 #: Words that names, paths and identifiers are made of.
 DICTIONARY = (
