@@ -17,7 +17,7 @@ is a tree of links, never all its pairs.
 
 Defined results: null text is empty text; no words give fingerprint zero, linked like any other; repeated
 rows and ties share a component; an empty table gives an empty result; other columns are ignored. Rows with a
-null id are fingerprinted, and take the component of their fingerprint's other rows (null if none).
+null id link like any other; a component in which no row has an id has a null component_id.
 """
 
 from __future__ import annotations
@@ -88,15 +88,19 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def text_key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of all documents; fp is the unsigned fingerprint's 64 bits as a long."""
+    """(doc_id, k, fp) of all documents; fp is the unsigned fingerprint's 64 bits as a long, k tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), size) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py(), size) for x in b.column(2)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "k", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("k"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, k long, fp long")
 
 
 def _keys() -> list:
@@ -196,32 +200,43 @@ def links(reps: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "first", "fp").mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of all documents; component_id is the smallest doc_id that links reach."""
+def _grouped(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(doc_id, k, fp) of all documents, and (fp, low): the least fingerprint that links reach from each."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, size))
-    reps = scratch.table(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = scratch.table(prints.select("fp").distinct().withColumn("rep", F.col("fp")))
     joined = components(scratch.table(links(reps)), scratch)
-    found = scratch.table(reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    return prints, scratch.table(reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "fp").alias("low"))), scratch
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) of all documents; component_id is the smallest doc_id that links reach."""
+    prints, groups, scratch = _grouped(docs, size)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp").groupBy("low").agg(F.min("least").alias("component_id"))
+    found = scratch.table(groups.join(least, "low").select("fp", "component_id"))
     return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Ids up to which a side of a join is broadcast (8 bytes each); beyond it Spark shuffles.
-BROADCAST = 1_000_000
+#: Rows up to which a side of a join is broadcast (about 24 bytes each); beyond it Spark shuffles.
+BROADCAST = 500_000
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one of least doc_id, with its columns. Rows without an id stay; of rows that repeat an id one stays."""
-    found = near_duplicates(docs)
-    scratch = Scratch(docs.sparkSession, "kept")
-    found = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    found = scratch.table(found.where("n > 1 or c <> doc_id").select(F.col("doc_id").alias("_i"), (F.col("c") == F.col("doc_id")).alias("_keep")))
+    """One document of each group with its columns: the one of least doc_id (null last), then of least text hash. Of rows equal in both one stays."""
+    prints, groups, scratch = _grouped(docs, SHINGLE)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("k").alias("j")))
+    # rows of one fingerprint are many in a group of copies: they are summed up before the groups are joined
+    per = prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")).join(groups, "fp").groupBy("low").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    several = groups.join(per.where("n > 1"), "low").select("fp", "first")
     few = lambda rows: F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
-    out = docs.join(few(found), F.col("doc_id") == F.col("_i"), "left_anti")
+    found = prints.join(few(scratch.table(several)), "fp").select(F.col("doc_id").alias("_i"), F.col("k").alias("_j"), (F.col("doc_id").eqNullSafe(F.col("first.i")) & (F.col("k") == F.col("first.j"))).alias("_keep"))
+    found = scratch.table(found.distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (text_key() == F.col("_j"))
+    out = docs.join(few(found), same, "left_anti")
     again = found.where("_keep")
     if again.isEmpty():
         return out
-    return out.unionByName(docs.join(few(again), F.col("doc_id") == F.col("_i"), "left_semi").dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.join(few(again), same, "left_semi").withColumn("_text_key", text_key()).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def plain_components(ids, prints):
 def test_fingerprints(odd):
     rows = odd.collect()
     got = simhash.fingerprints(odd).collect()
-    assert sorted((r[1] & (2**64 - 1)) for r in got) == sorted(plain_fingerprint(r["text"]) for r in rows)
+    assert sorted((r["fp"] & (2**64 - 1)) for r in got) == sorted(plain_fingerprint(r["text"]) for r in rows)
 
 
 def test_pieces_make_no_difference(monkeypatch):
@@ -100,9 +100,21 @@ def test_one_of_each_group_stays(odd, none):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 7, 8, 9, 10]
+    assert ids.count(None) == 1  # the one whose text no other row has
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Groups are of rows: an id that stands for two texts is in two groups, and none loses its only member."""
+    rng = np.random.default_rng(3)
+    text = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)) for _ in range(5)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (3, text[1]), (4, text[2]), (4, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[4]), (5, text[4]), (0, text[3] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((-1 if r[0] is None else r[0]), text.index(r[1]) if r[1] in text else -1) for r in simhash.deduplicated(docs).collect())
+    far = bin(simhash.fingerprint(text[3]) ^ simhash.fingerprint(text[3] + " more")).count("1") > simhash.RADIUS
+    assert got == sorted([(1, 0), (2, 1), (4, 2), (5, 4), (0, -1), *([(-1, 3)] if far else [])])
+
+
 def test_forest_connects_and_bounds_degree():
     a = np.array([5, 5, 5, 9] + [100] * 500)
     b = np.array([6, 7, 8, 10, *range(101, 601)])
