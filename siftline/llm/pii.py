@@ -1,7 +1,7 @@
 """Personal data, and what reveals it, in SQL functions alone.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Information-theoretic sanitisation adds
-terms: over the whole corpus, the words within NEAR words of an entity (a base span's value) are counted
+terms: over the whole corpus, the words beside an entity (a base span's value), the nearest NEAR that stand whole within AROUND characters on either side, are counted
 with it. A term discloses an entity if, of the documents that hold the term, a share of at least SHARE
 holds it beside that entity, that is at least BITS bits above the entity's own frequency, and chance does not explain
 that: the surprise of so many meetings (Chernoff's bound on the binomial tail, in bits) is BITS or more above the logarithm of the number
@@ -25,7 +25,7 @@ from siftline.llm.spans import occurrences, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SHARE, BITS = 8, 0.5, 4.0
-#: Characters on either side from which context words are taken, and the shortest word that counts.
+#: Characters on either side within which context words stand, and the shortest word that counts.
 AROUND, LEAST = 240, 4
 #: Rows up to which a table of terms or spans is broadcast (under 100 bytes each); beyond it Spark shuffles.
 BROADCAST = 200_000
@@ -78,16 +78,17 @@ def _maybe(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if _fits(rows) else rows
 
 
-def _words(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit(rf"\p{{L}}{{{LEAST},}}+"), F.lit(0))
+def _words(x: Column, start: str = "", end: str = "") -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit(rf"{start}\p{{L}}{{{LEAST},}}+{end}"), F.lit(0))
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
     """(row, entity, context, term): the words around each entity, from (row, base, t) of documents with spans."""
     one = rows.select("row", "t", F.explode("base").alias("x"))
-    before = F.substring(F.col("t"), F.greatest(F.lit(1), F.col("x.s") + 1 - AROUND), F.least(F.lit(AROUND), F.col("x.s")))
-    after = F.substring(F.col("t"), F.col("x.e") + 1, F.lit(AROUND))
-    left, right = _words(before), _words(after)
+    # a character more than counts tells whether a word is whole
+    before = F.when(F.col("x.s") <= AROUND, F.concat(F.lit(" "), F.substring(F.col("t"), F.lit(1), F.col("x.s")))).otherwise(F.substring(F.col("t"), F.col("x.s") - AROUND, F.lit(AROUND + 1)))
+    after = F.substring(F.concat(F.col("t"), F.lit(" ")), F.col("x.e") + 1, F.lit(AROUND + 1))
+    left, right = _words(before, r"(?<=\P{L})"), _words(after, end=r"(?=\P{L})")
     left = F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR + 1), NEAR)
     words = F.array_distinct(F.concat(left, F.slice(right, 1, NEAR)))
     entity = F.concat(F.col("x.kind"), F.lit(":"), F.lower(F.when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.v", "[^0-9]", "")).otherwise(F.col("x.v"))))

@@ -1,4 +1,10 @@
+import math
+import random
+
+import regex
+
 from siftline.llm import pii
+from test_pii import brute
 
 
 def rows():
@@ -24,3 +30,63 @@ def test_repeated_rows_count_alike(spark):
     """A row that repeats is as many documents beside the entity as among those that hold the term."""
     again = rows()[:1] * 6 + rows()[1:]
     assert terms(spark, again) == {(1, "Marlowen"), (2, "Marlowen")}
+
+
+def plain_terms(docs):
+    """Terms that disclose an entity, counted one by one. docs: texts."""
+    pairs, own, held = {}, {}, {}
+    for row, text in enumerate(docs):
+        text = text or ""
+        for term in set(regex.findall(r"\p{L}{4,}", text.lower())):
+            held[term] = held.get(term, 0) + 1
+        entities = set()
+        for kind, s, e in brute(text):
+            value = text[s:e].lower()
+            entity = kind + ":" + (regex.sub("[^0-9]", "", value) if kind in ("card", "phone") else value)
+            words = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{4,}", text)]
+            left = [w for a, b, w in words if b <= s and a >= s - pii.AROUND][-pii.NEAR :]
+            right = [w for a, b, w in words if a >= e and b <= e + pii.AROUND][: pii.NEAR]
+            context = tuple(dict.fromkeys(left + right))
+            if context:
+                entities.add(entity)
+            for term in context:
+                contexts, together = pairs.setdefault((term, entity), (set(), set()))
+                contexts.add(context)
+                together.add(row)
+        for x in entities:
+            own[x] = own.get(x, 0) + 1
+    least, out = pii.BITS + math.log2(max(len(pairs), 1)), set()
+    for (term, entity), (contexts, together) in pairs.items():
+        k, share, p = min(len(contexts), len(together)), len(together) / held[term], own[entity] / len(docs)
+        rest = (1 - share) * math.log2((1 - share) / max(1 - p, 1e-12)) if share < 1 else 0.0
+        if share >= pii.SHARE and math.log2(share / p) >= pii.BITS and k / share * (share * math.log2(share / p) + rest) >= least:
+            out.add(term)
+    return out
+
+
+def test_terms_against_plain_counts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 7)))
+    common = [word() for _ in range(150)]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.9 else word() for _ in range(n))
+    docs = [prose(rng.randint(0, 120)) for _ in range(700)] + [None, ""]
+    for k in range(25):
+        entity, name = (f"user{k}@example.com" if k % 2 else f"+4930{k:02d}4567890", "".join(rng.choices("klmnopqrst", k=8)))
+        for _ in range(rng.randint(1, 6)):
+            docs.append(f"{prose(rng.randint(0, 60))} {name if rng.random() < 0.9 else ''} {prose(rng.randint(0, 9))} {entity}, {prose(rng.randint(0, 60))}")
+        docs += [f"{prose(5)} {name} {prose(5)}"] * rng.randint(0, 3)
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    _, spans = pii.find(rows)
+    got = {docs[r["doc_id"]][x.s : x.e].lower() for r in spans.collect() for x in r["terms"]}
+    assert got == plain_terms(docs) and len(got) > 8
+
+
+def test_words_cut_by_the_window_do_not_count(spark):
+    from pyspark.sql import functions as F
+
+    text = "Wolkenbruch " + "x. " * 78 + "me@example.com" + " y." * 78 + " Abendrot"
+    rows = spark.createDataFrame([(0, text)], "row long, t string").withColumn("base", pii.base_spans(F.col("t")))
+    assert pii._contexts(rows).count() == 0
+    near = text.replace("x. ", "", 2).replace(" y.", "", 2)
+    rows = spark.createDataFrame([(0, near)], "row long, t string").withColumn("base", pii.base_spans(F.col("t")))
+    assert {r["term"] for r in pii._contexts(rows).collect()} == {"wolkenbruch", "abendrot"}
