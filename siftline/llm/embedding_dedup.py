@@ -3,10 +3,11 @@
 Equal vectors become one row with a count. Each tree splits by random directions, one a level, at a
 threshold of each node's own; a row within SPILL of the threshold goes to both sides. Rows are compared within
 leaves; what any tree finds is united and verified by cosine in double precision. A pair that shares several
-leaves counts in the first of them alone, so that link counts add up without a list of pairs.
+leaves counts in the first of them alone, so that link counts add up without a list of pairs; a row carries the leaves that
+come before the one it is compared in, as it was routed once.
 
-The trees are fitted on the SAMPLE rows of least hash (a bounded sample, a parameter); every row goes through
-every tree. A node whose sample can't be split without sending over STUCK of it to both sides (a tight cluster)
+The trees are fitted on the SAMPLE rows of least hash (a bounded sample, a parameter, shared by all lengths of vectors; a length
+of no more than LEAF vectors is one leaf); every row goes through every tree. A node whose sample can't be split without sending over STUCK of it to both sides (a tight cluster)
 becomes a leaf. A node with fewer than FEW sampled rows that still stands for many goes on by its own sample's
 thresholds alone (its tail), so that leaves keep their size however many rows a sampled one stands for. Leaves that one row
 in LOOK shows to be large are cut into salted sub-blocks compared pair by pair, so that no leaf's size bounds a
@@ -184,7 +185,8 @@ def _tail(cast: np.ndarray, level: int, rows: float, leaf: int, spill: float) ->
 
 
 def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str, vectors: bool = True) -> Iterator[pa.RecordBatch]:
-    """A row for each leaf that a vector falls in, with the vector if asked for."""
+    """A row for each leaf that a vector falls in, with the leaves before it and the vector if asked for."""
+    names = ["dim", "leaf", "before", "rep", "n", "vec"]
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
@@ -192,45 +194,48 @@ def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str
             for size in np.unique(sizes):
                 own = b.take(pa.array(np.flatnonzero(sizes == size)))
                 x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(-1, size))
-                for t in range(len(trees[int(size)].thresholds)):
-                    row, leaf = trees[int(size)].leaves(x, t)
-                    rest = own.take(pa.array(row)).columns if vectors else []
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(leaf), *rest], ["dim", "leaf", "rep", "n", "vec"][: 2 + len(rest)])
+                found = [trees[int(size)].leaves(x, t) for t in range(len(trees[int(size)].thresholds))]
+                row, leaf = (np.concatenate(z) for z in zip(*found, strict=True))
+                order = np.lexsort((leaf, row))
+                row, leaf = row[order], leaf[order]
+                rest = []
+                if vectors:
+                    data, first = leaf.astype("<i8").tobytes(), np.searchsorted(row, row) * 8
+                    rest = [pa.array([data[lo:hi] for lo, hi in zip(first.tolist(), range(0, 8 * len(row), 8), strict=True)], pa.binary()), *own.take(pa.array(row)).columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(leaf), *rest], names[: 2 + len(rest)])
 
 
 def _salted(reps: DataFrame, trees: dict[int, Trees], kind: str, scratch: Scratch) -> DataFrame:
-    """(dim, leaf, i, j, salt, rep, n, vec): each vector once for each of its leaves, or for each pair of sub-blocks it is in there."""
+    """(dim, leaf, i, j, salt, before, rep, n, vec): each vector once for each of its leaves, or for each pair of sub-blocks it is in there."""
     rows = reps.select("rep", "n", "vec")
-    routed = rows.mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, rep long, n long, vec binary")
+    routed = rows.mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, before binary, rep long, n long, vec binary")
     some = rows.where(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).mapInArrow(lambda it: _route(it, trees, kind, False), "dim int, leaf long")
     large = some.groupBy("dim", "leaf").agg((F.count("*") * LOOK).alias("rows")).where(F.col("rows") > LARGE)
     large = scratch.table(large.select("dim", "leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("k")))
     found = large.limit(BROADCAST + 1).count()
     if not found:
         none = F.lit(0)
-        return routed.select("dim", "leaf", none.alias("i"), none.alias("j"), none.alias("salt"), "rep", "n", "vec")
+        return routed.select("dim", "leaf", none.alias("i"), none.alias("j"), none.alias("salt"), "before", "rep", "n", "vec")
     routed = routed.join(F.broadcast(large) if found <= BROADCAST else large, ["dim", "leaf"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     routed = routed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return routed.select("dim", "leaf", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "n", "vec")
-
-
-def _shared_before(x: np.ndarray, trees: Trees, leaf: int) -> np.ndarray:
-    """Which pairs of rows share a leaf that comes before this one."""
-    out = np.zeros((len(x), len(x)), bool)
-    for t in range((leaf >> 50) + 1):
-        row, code = trees.leaves(x, t)
-        row, code = row[code < leaf], code[code < leaf]
-        if len(row):
-            kinds, at = np.unique(code, return_inverse=True)
-            for g in range(0, len(kinds), 4096):
-                part = (at >= g) & (at < g + 4096)
-                one = np.zeros((len(x), min(4096, len(kinds) - g)), np.float32)
-                one[row[part], at[part] - g] = 1
-                out |= one @ one.T > 0
+    return routed.select("dim", "leaf", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "before", "rep", "n", "vec")
+
+
+def _shared(before: list[bytes]) -> np.ndarray:
+    """Which pairs of rows have some leaf of ``before`` in common."""
+    n = len(before)
+    out = np.zeros((n, n), bool)
+    kinds, at = np.unique(np.frombuffer(b"".join(before), "<i8"), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x) // 8 for x in before])
+    for g in range(0, len(kinds), 4096):
+        part = (at >= g) & (at < g + 4096)
+        one = np.zeros((n, min(4096, len(kinds) - g)), np.float32)
+        one[row[part], at[part] - g] = 1
+        out |= one @ one.T > 0
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Within leaves: how many vectors each is linked with (b = 0 - count), and a tree of the links (a, b)."""
     for t in runs(batches, ["dim", "leaf", "i", "j"], 10_000):
         keys = [t[k].to_numpy() for k in ("dim", "leaf", "i", "j")]
@@ -239,7 +244,7 @@ def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine:
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, t.num_rows], strict=True):
             if hi - lo < 2:
                 continue
-            dim, leaf, i, j = (int(k[lo]) for k in keys)
+            dim, _, i, j = (int(k[lo]) for k in keys)
             own = t.slice(lo, hi - lo)
             rep, n, salt = (own[k].to_numpy() for k in ("rep", "n", "salt"))
             x, _ = _clean(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, dim))
@@ -250,7 +255,7 @@ def _compare(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], cosine:
             some = np.flatnonzero(near.any(1))
             if not len(some):
                 continue
-            near = near[np.ix_(some, some)] & ~_shared_before(x[some], trees[dim], leaf)
+            near = near[np.ix_(some, some)] & ~_shared(own["before"].take(pa.array(some)).to_pylist())
             rep, n = rep[some], n[some]
             ids.append(rep)
             counts.append(near @ n)
@@ -271,11 +276,16 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF,
     kind = "<f4" if single else "<f8"
     rows = scratch.table(table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>")).mapInArrow(lambda it: _prepare(it, kind), "vec_id long, digest binary, vec binary"))
     reps = scratch.table(rows.where("vec_id is not null and digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("vec").alias("vec")))
-    trees = {}
-    for size, total in reps.groupBy((F.octet_length("vec") / np.dtype(kind).itemsize).cast("int").alias("size")).count().collect():  # a row for each length of vector
-        got = reps.where(F.octet_length("vec") == size * np.dtype(kind).itemsize).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
-        trees[size] = fit(_clean(np.frombuffer(b"".join(bytes(r[0]) for r in got), kind).reshape(-1, size))[0], total, cosine, n_trees, leaf)
-    found = scratch.table(_salted(reps, trees, kind, scratch).repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, trees, cosine, kind), "link boolean, a long, b long"))
+    trees, width = {}, np.dtype(kind).itemsize
+    lengths = {r[0]: r[1] for r in reps.groupBy((F.octet_length("vec") / width).cast("int").alias("size")).count().collect()}  # a row for each length of vector
+    many = sum(total > leaf for total in lengths.values())
+    for size, total in lengths.items():
+        got = []
+        if total > leaf:
+            got = reps.where(F.octet_length("vec") == size * width).orderBy(F.xxhash64("rep"), "rep").limit(max(sample // many, FEW)).select("vec").collect()
+        known = _clean(np.frombuffer(b"".join(bytes(r[0]) for r in got), kind).reshape(-1, size))[0]
+        trees[size] = fit(known, total, cosine, n_trees if total > leaf else 1, leaf)
+    found = scratch.table(_salted(reps, trees, kind, scratch).repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, cosine, kind), "link boolean, a long, b long"))
     joined = components(found.where("link").select("a", "b"), scratch)
     counts = found.where("not link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     per = reps.select("rep", "digest", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
