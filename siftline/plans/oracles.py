@@ -93,6 +93,49 @@ def content(x: str) -> str:
     return f"coalesce(length({x}) >= 200 AND CASE WHEN {numeric} / greatest(len({lines}), 1) > 0.3 THEN false ELSE len({sizes}) >= 5 AND list_sum({sizes}) >= 40 * len({sizes}) END, false)"
 
 
+
+def _cut(win: str, size: int) -> str:
+    """Where a text too long is cut, given its first ``size`` and 50 characters."""
+    at = [f"CASE WHEN instr(reverse({win}), reverse({d})) > 0 THEN length({win}) - instr(reverse({win}), reverse({d})) - length({d}) + 1 END" for d in map(_chars, w.DELIMITERS)]
+    return "CASE " + " ".join(f"WHEN {x} > {0.3 * size} THEN {x} + {len(d)}" for x, d in zip(at, w.DELIMITERS, strict=True)) + f" ELSE {size} END"
+
+
+def _chars(x: str) -> str:
+    return "(" + " || ".join(f"chr({ord(c)})" for c in x) + ")"
+
+
+def sized(size: int = 600, overlap: int = 100) -> str:
+    """Chunks by size of all documents, a paragraph or a cut at a step: (doc_id, chunk_idx, chunk)."""
+    gap = "chr(10) || chr(10)"
+    carry = lambda done, glue, rest: f"CASE WHEN length({done}) > {overlap} THEN right({done}, {overlap}) || {glue} || {rest} ELSE {rest} END"
+    return rf"""
+src AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({strip('text')}, '\n{{2,}}'), lambda y: {strip('y')}), lambda z: z <> '') AS paras FROM documents WHERE text <> ''),
+ck AS (SELECT doc_id, paras, 1::BIGINT AS i, '' AS o, NULL::VARCHAR AS got, 0::BIGINT AS step, false AS done FROM src
+  UNION ALL SELECT doc_id, paras, CASE WHEN long_ THEN i ELSE i + 1 END,
+    CASE WHEN long_ THEN {carry('head', "' '", 'rest')} WHEN p IS NULL THEN '' WHEN o = '' THEN p WHEN length(o) + length(p) + 2 <= {size} THEN o || {gap} || p ELSE {carry('o', gap, 'p')} END,
+    CASE WHEN long_ THEN head WHEN p IS NULL OR (o <> '' AND length(o) + length(p) + 2 > {size}) THEN o END, step + 1, p IS NULL AND NOT long_
+  FROM (SELECT *, {strip('substr(o, 1, c)')} AS head, {strip('substr(o, c + 1)')} AS rest
+    FROM (SELECT *, CASE WHEN long_ THEN {_cut('win', size)} ELSE 0 END::BIGINT AS c FROM (SELECT *, length(o) > {1.5 * size} AS long_, paras[i] AS p, substr(o, 1, {size + 50}) AS win FROM ck WHERE NOT done)))),
+sized AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS chunk_idx, {strip('got')} AS chunk FROM ck WHERE length({strip('got')}) > 40)"""
+
+
+_BUCKET = "((instr('0123456789abcdef', substr(md5(word), 7, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(word), 8, 1)) - 1) % 64"
+#: Chunks where neighbouring sentences' word counts by hash differ; whole texts of under three sentences, chunks by size where that makes one.
+MEANT = rf"""{sized()},
+ss AS (SELECT doc_id, text, list_filter(list_transform({sent('text')}, lambda y: {strip('y')}), lambda z: z <> '') AS x FROM documents WHERE text <> ''),
+sn AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS k FROM ss WHERE len(x) >= 3),
+wd AS (SELECT doc_id, k, {_BUCKET} AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+')) AS word FROM sn) GROUP BY 1, 2, 3),
+ln AS (SELECT doc_id, k, sqrt(sum(n * n)) AS l FROM wd GROUP BY 1, 2),
+dt AS (SELECT a.doc_id, b.k, sum(a.n * b.n) AS d FROM wd a JOIN wd b ON a.doc_id = b.doc_id AND a.b = b.b AND b.k = a.k + 1 GROUP BY 1, 2),
+nr AS (SELECT sn.doc_id, sn.k, sn.s, coalesce(d, 0) / greatest(coalesce(p.l * q.l, 0), 1e-12::DOUBLE) AS near FROM sn LEFT JOIN dt USING (doc_id, k) LEFT JOIN ln p ON p.doc_id = sn.doc_id AND p.k = sn.k - 1 LEFT JOIN ln q ON q.doc_id = sn.doc_id AND q.k = sn.k),
+lt AS (SELECT doc_id, quantile_cont(near, 0.3) AS least FROM nr WHERE k > 1 GROUP BY 1),
+ap AS (SELECT nr.*, near < least AS apart FROM nr JOIN lt USING (doc_id)),
+gr AS (SELECT doc_id, k, s, 0::BIGINT AS g, length(s)::BIGINT AS n FROM ap WHERE k = 1
+  UNION ALL SELECT ap.doc_id, ap.k, ap.s, CASE WHEN apart OR n + length(ap.s) > 600 THEN g + 1 ELSE g END, CASE WHEN apart OR n + length(ap.s) > 600 THEN length(ap.s) ELSE n + length(ap.s) END FROM gr JOIN ap ON ap.doc_id = gr.doc_id AND ap.k = gr.k + 1),
+one AS (SELECT doc_id FROM gr GROUP BY 1 HAVING max(g) = 0),
+meant AS (SELECT doc_id, g::INT AS chunk_idx, string_agg(s, ' ' ORDER BY k) AS chunk FROM gr WHERE doc_id NOT IN (SELECT doc_id FROM one) GROUP BY 1, 2
+  UNION ALL SELECT doc_id, 0, text FROM ss WHERE len(x) < 3 UNION ALL SELECT * FROM sized WHERE doc_id IN (SELECT doc_id FROM one))"""
+
 _QUERY = f"({_list(inputs.QUERIES)})[((%s) %% {len(inputs.QUERIES)} + 1)::INT]"
 ASKED = f"asked AS (SELECT DISTINCT page_id // {inputs.HITS} AS query_id, {_QUERY % f'page_id // {inputs.HITS}'} AS query, TIMESTAMP '{inputs.AS_OF}' AS as_of FROM pages)"
 HITS = f"""
@@ -251,6 +294,9 @@ ORACLES = {
     "url_domain": f"SELECT page_id, replace({netloc('url')}, 'www.', '') AS domain, {netloc('url')} AS netloc FROM pages",
     "redirect_unwrap": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_text(_A[k])}, {_text(_B[k])})" for k in range(len(queries.LINKS))) + ") v(id, a, b)",
     "publish_date": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_text(_PUBLISHED[k]) if k in _PUBLISHED else 'NULL'})" for k in range(len(queries.DATES))) + ") v(id, published)",
+    "chunk_text": f"WITH RECURSIVE {sized()} SELECT * FROM sized",
+    "chunk_filter": f"WITH RECURSIVE {sized()}, cl AS (SELECT doc_id, chunk_idx AS i, {garbage('chunk')} AS text FROM sized) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, text FROM cl WHERE length(text) >= 50 AND NOT {incomplete('text')} AND NOT {low_quality('text')}",
+    "semantic_chunks": f"WITH RECURSIVE {MEANT} SELECT * FROM meant",
     "tokenize_df": f"SELECT token, count(*) AS n FROM (SELECT unnest({tok('text')}) AS token FROM documents) GROUP BY 1",
     "sentence_split": rf"SELECT doc_id, len({sent('text')})::BIGINT AS sentences, length({sent('text')}[1])::BIGINT AS first_len, len(list_filter(list_transform(regexp_split_to_array({strip('text')}, '\n{{2,}}'), lambda y: {strip('y')}), lambda z: z <> ''))::BIGINT AS paragraphs FROM documents",
     "query_topk": f"SELECT conv_id, turn, ({breadth('text')})::INT AS top_k FROM conversations",
