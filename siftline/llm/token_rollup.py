@@ -29,7 +29,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import scratch_dir
+from siftline.llm.common import Scratch, scratch_dir
 
 TOKENIZERS = "/opt/tokenizers"
 VERSION, OTHER = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -68,28 +68,34 @@ def parts(text: str) -> Iterator[str]:
     yield text
 
 
-def counted(docs: DataFrame, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
-    """(source, lang, tokens) of each document. The vocabulary, under 2 MB, is read by the driver and broadcast."""
+def counted(docs: DataFrame, folder: str = TOKENIZERS, version: str = VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in ``keep`` and (source, lang, tokens) of each document. The vocabulary, under 2 MB, is read by the driver and broadcast."""
     data = docs.sparkSession.sparkContext.broadcast(vocabulary(folder, version))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(version, data.value).encode_ordinary
         for b in batches:
-            n = [sum(len(encode(p)) for p in parts(x.as_py() or "")) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["source", "lang", "tokens"])
+            n = [sum(len(encode(p)) for p in parts(x.as_py() or "")) for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*b.schema.names[:-1], "tokens"])
 
-    rows = docs.select(*(F.col(c).cast("string") for c in ("source", "lang", "text")))
-    return rows.mapInArrow(run, "source string, lang string, tokens long")
+    rows = docs.select(*keep, *(F.col(c).cast("string") for c in ("source", "lang", "text")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{fields}, tokens long")
 
 
-def delta(after: DataFrame | None, before: DataFrame | None = None, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
-    """Signed rows of a change: documents as they are count up, as they were count down."""
-    sides = [counted(x, folder, version).withColumn("sign", F.lit(s)) for x, s in ((after, 1), (before, -1)) if x is not None]
+def change(after: DataFrame | None, before: DataFrame | None = None, version: str = VERSION) -> DataFrame:
+    """Signed rows of a change, from documents' counts (source, lang, tokens): those as they are count up, those as they were down."""
+    sides = [x.select("source", "lang", "tokens", F.lit(s).alias("sign")) for x, s in ((after, 1), (before, -1)) if x is not None]
     rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     out = rows.groupBy("source", "lang").agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
     return out.select("source", "lang", F.lit(version).alias("tokenizer"), "documents", "tokens").where("documents <> 0 or tokens <> 0")
 
 
+def delta(after: DataFrame | None, before: DataFrame | None = None, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
+    """Signed rows of a change of documents."""
+    return change(*(None if x is None else counted(x, folder, version) for x in (after, before)), version)
+
+
 class Rollup:
     """Totals in a folder: ``batches``, the ``live`` ones, and ``snapshots`` of many."""
 
@@ -174,17 +180,23 @@ class Rollup:
 
 def op7_token_rollup(spark, sf_dir: str) -> DataFrame:
     """A corpus's life: all documents inserted under two tokenizer versions, a batch sent twice; under the first version the texts whose white space
-    is not single spaces revised to have it so, and the documents labelled as bad deleted as they then are; a compaction between, and the totals read back."""
+    is not single spaces revised to have it so, and the documents labelled as bad deleted as they then are; a compaction between, and the totals read back.
+
+    Counts of documents under the first version are kept by id, so that changes later take them from there and no text is counted again or shuffled.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
     bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select("doc_id")
-    now = docs.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    rough = F.col("text").rlike(r"[\x09-\x0D]|\x20\x20")
-    rollup = Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("documents", delta(docs))
+    rough = F.coalesce(F.col("text").rlike(r"[\x09-\x0D]|\x20\x20"), F.lit(False))
+    scratch, rollup = Scratch(spark, "counts"), Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    first = scratch.table(counted(docs.withColumn("rough", rough), keep=("doc_id", "rough")))
+    rollup.commit("documents", change(first))
     rollup.commit("documents, other tokenizer", delta(docs, version=OTHER))
     rollup.compact()
-    rollup.commit("documents", delta(docs))
-    rollup.commit("revised", delta(docs.where(rough).withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), docs.where(rough)))
-    rollup.commit("deleted", delta(None, now.join(bad, "doc_id", "left_semi")))
+    rollup.commit("documents", change(first))
+    revised = docs.where(rough).withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    revised = scratch.table(counted(revised, keep=("doc_id",)))
+    rollup.commit("revised", change(revised, first.where("rough")))
+    now = first.where("not rough").drop("rough").unionByName(revised)
+    rollup.commit("deleted", change(None, now.join(bad, "doc_id", "left_semi")))
     rollup.compact()
     return rollup.totals()
