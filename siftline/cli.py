@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftline.config import load_config
 from siftline.functions.text import query_language
 from siftline.plans.engine import Engine
-from siftline.sources.tables import as_json, page_texts
+from siftline.sources.tables import as_json
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.mode in ("a", "b"):
         out = as_json(hits.where(F.col("engine") == args.mode).join(queries.select("query_id"), "query_id", "left_semi").orderBy("query_id", "rank"))
     else:
-        engine = Engine(hits, page_texts(spark.read.parquet(args.pages)) if args.pages else spark.createDataFrame([], "url string, text string, pub_date timestamp_ntz"), load_config(args.config))
+        engine = Engine(hits, spark.read.parquet(args.pages) if args.pages else spark.createDataFrame([], "url string, text string, pub_date timestamp_ntz"), load_config(args.config))
         if args.mode == "llm":
             out = engine.prompts(queries).select(F.col("prompt").alias("value"))
         elif args.mode == "read":

@@ -7,7 +7,7 @@ its name or does nothing; so an unclosed paragraph holds the next one, and its t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,8 +40,8 @@ class Node:
     def elements(self) -> Iterator[Node]:
         return (x for x in self.walk() if isinstance(x, Node))
 
-    def text(self) -> str:
-        return " ".join(s for x in self.walk() if isinstance(x, str) and (s := x.strip()))
+    def text(self, glue: str = " ") -> str:
+        return glue.join(s for x in self.walk() if isinstance(x, str) and (s := x.strip()))
 
 
 class _Builder(HTMLParser):
@@ -120,27 +120,29 @@ def date_string(root: Node) -> str | None:
     return None
 
 
-def read(page: str | None) -> tuple[str, str | None, str | None]:
+#: Characters from which another extractor's text is taken.
+ENOUGH = 100
+
+
+def read(page: str | None, extract: Callable[[str], str | None] | None = None) -> tuple[str, str | None, str | None]:
+    """Text, date string and title. ``extract``, another extractor, gives the text where it finds more than ENOUGH characters."""
     root = parse(page or "")
     date = date_string(root)
     title = next((x.text() for x in root.elements() if x.tag == "title"), None)
-    return content(root), date, title
-
-
-def _read(pages: pa.Array) -> pa.Array:
-    text, date, title = zip(*(read(x.as_py()) for x in pages), strict=True) if len(pages) else ((), (), ())
-    return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (text, date, title)], ["text", "date", "title"])
+    other = extract(page) if extract is not None and page else None
+    return other if other and len(other) > ENOUGH else content(root), date, title
 
 
-def extracted(html: Column | str) -> Column:
+def extracted(html: Column | str, extract: Callable[[str], str | None] | None = None) -> Column:
     """(text, date, title) of a page."""
 
     @F.arrow_udf("struct<text:string,date:string,title:string>")
     def run(pages: pa.Array) -> pa.Array:
-        return _read(pages)
+        text, date, title = zip(*(read(x.as_py(), extract) for x in pages), strict=True) if len(pages) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (text, date, title)], ["text", "date", "title"])
 
     return run(html)
 
 
-def with_text(pages: DataFrame, column: str = "html") -> DataFrame:
-    return pages.withColumn("page", extracted(column))
+def with_text(pages: DataFrame, column: str = "html", extract: Callable[[str], str | None] | None = None) -> DataFrame:
+    return pages.withColumn("page", extracted(column, extract))

@@ -96,7 +96,8 @@ def profile(c: Column | str) -> Column:
 def has_facts(c: Column | str) -> Column:
     """Whether at least two signs of facts are there."""
     found = [_of(c).rlike("(?U)" + p) for p in w.FACTS] + [F.lower(_of(c)).rlike("(?U)" + p) for p in w.FACTS_LOWER]
-    return sum((x.cast("int") for x in found[1:]), found[0].cast("int")) >= 2
+    # all signs but one have a digit
+    return F.when(_of(c).rlike(r"\p{Nd}"), sum((x.cast("int") for x in found[1:]), found[0].cast("int")) >= 2).when(_of(c).isNotNull(), False)
 
 
 def is_factoid(c: Column | str) -> Column:
@@ -145,10 +146,19 @@ def is_low_quality(c: Column | str) -> Column:
     return F.coalesce((F.length(_of(c)) < 50) | let(F.lower(_of(c)), phrased) | let(pieces(c), worded), F.lit(True))
 
 
+def is_price_list(c: Column | str) -> Column:
+    """Whether over three tenths of a text's lines are numbers and currency signs."""
+    return let(F.split(_of(c), "\n"), lambda lines: F.size(F.filter(lines, lambda x: strip(x).rlike("(?U)" + w.NUMERIC_LINE))) / F.size(lines) > 0.3)
+
+
+def preview(c: Column | str, size: int = 500) -> Column:
+    """What of a text its relevance is told by."""
+    return _of(c).substr(1, size)
+
+
 def is_content(c: Column | str, relevance: Column | None = None, sentence: int = 40, least: int = 5, threshold: float = 0.35) -> Column:
-    """Whether a page's text is content: enough long sentences or, for a price list, enough relevance (none if unknown)."""
-    prices = let(F.split(_of(c), "\n"), lambda lines: F.size(F.filter(lines, lambda x: strip(x).rlike("(?U)" + w.NUMERIC_LINE))) / F.size(lines) > 0.3)
+    """Whether a page's text is content: enough long sentences or, for a price list, enough relevance of its preview (none if unknown)."""
     long_ = F.filter(F.transform(F.split(_of(c), r"(?U)[.!?]\s+"), lambda x: F.length(strip(x))), lambda n: n > 20)
     prose = let(long_, lambda sizes: (F.size(sizes) >= least) & (F.aggregate(sizes, F.lit(0), lambda a, b: a + b) >= sentence * F.size(sizes)))
     listed = F.coalesce(relevance >= threshold, F.lit(False)) if relevance is not None else F.lit(False)
-    return F.coalesce((F.length(_of(c)) >= 200) & F.when(prices, listed).otherwise(prose), F.lit(False))
+    return F.coalesce((F.length(_of(c)) >= 200) & F.when(is_price_list(c), listed).otherwise(prose), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import text as t
@@ -21,14 +22,20 @@ def idf(chunks: DataFrame) -> DataFrame:
     return df.join(n, "query_id").select("query_id", "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def counted(chunks: DataFrame) -> DataFrame:
+    """Adds tokens, q (the query's tokens), tf (how often each of q stands among tokens) and size (how many tokens there are)."""
+    rows = chunks.withColumn("tokens", t.tokens("text")).withColumn("q", t.tokens("query"))
+    asked = F.filter("tokens", lambda x: F.array_contains("q", x))
+    return rows.withColumn("tf", t.let(asked, lambda own: F.transform("q", lambda x: F.size(F.filter(own, lambda y: y == x))))).withColumn("size", F.size("tokens"))
+
+
 def bm25(chunks: DataFrame) -> DataFrame:
-    """The chunks (query_id, query, text, ...) with tokens, q (the query's tokens) and bm25, scaled by the query's best.
+    """The chunks (query_id, query, text, ...) with tokens, q and bm25, scaled by the query's best.
 
     Only the query's tokens are counted in each chunk, so what is shuffled for the statistics is a row a chunk and query token.
+    Chunks that ``counted`` has not seen are counted and written first, as the statistics and the scores read them.
     """
-    rows = chunks.withColumn("tokens", t.tokens("text")).withColumn("q", t.tokens("query"))
-    # tokens are made once; the statistics then read their own columns alone
-    rows = materialized(rows.withColumn("tf", F.transform("q", lambda x: F.size(F.filter("tokens", lambda y: y == x)))).withColumn("size", F.size("tokens")), "tokens")
+    rows = chunks if "tf" in chunks.columns else materialized(counted(chunks), "tokens")
     sizes = rows.groupBy("query_id").agg((F.count("*") + 1).alias("n"), ((F.sum("size") + F.max(F.size("q"))) / (F.count("*") + 1)).alias("mean"))
     df = rows.select("query_id", F.posexplode("tf").alias("at", "f")).groupBy("query_id", "at").agg((F.count_if(F.col("f") > 0) + 1).alias("df"))
     df = df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("dfs"))
@@ -37,9 +44,10 @@ def bm25(chunks: DataFrame) -> DataFrame:
     norm = K1 * (1 - B + F.when(F.col("mean") > 0, B * F.col("size") / F.col("mean")).otherwise(0.0))
     parts = F.zip_with("tf", "idfs", lambda f, w: F.when(f > 0, w * (f * (K1 + 1)) / (f + norm)).otherwise(F.lit(0.0)))
     rows = rows.withColumn("raw", F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
-    rows = rows.drop("idfs", "mean", "size")
-    best = rows.groupBy("query_id").agg(F.max("raw").alias("best"))
-    return rows.join(best, "query_id").withColumn("bm25", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw"))).drop("raw", "best", "tf")
+    # the best comes from a window by query, as the rank does later, so that rows are shuffled once
+    best = F.max("raw").over(W.partitionBy("query_id"))
+    rows = rows.withColumn("best", best).withColumn("bm25", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw")))
+    return rows.drop("idfs", "mean", "size", "raw", "best", "tf")
 
 
 def tfidf(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,9 +14,14 @@ from siftline.functions import urls
 BOTH = 1.3
 
 
-def admitted(hits: DataFrame) -> DataFrame:
-    """Engine A's raw hits (query_id, engine, rank, title, url, snippet) unwrapped, admitted, the first of each URL, ranked anew."""
+def admitted(hits: DataFrame, listed: str | None = None) -> DataFrame:
+    """Engine A's raw hits (query_id, engine, rank, title, url, snippet) unwrapped, admitted, the first of each URL, ranked anew.
+
+    ``listed`` names a flag: hits without it count where a query has none with it.
+    """
     rows = hits.withColumn("url", urls.unwrapped_a(F.col("url"))).where(urls.admitted(F.col("url"), F.col("title")))
+    if listed is not None:
+        rows = rows.withColumn("_best", F.max(listed).over(W.partitionBy("query_id", "engine"))).where(F.col(listed) == F.col("_best")).drop("_best")
     first = F.row_number().over(W.partitionBy("query_id", "engine", urls.engine_key(F.col("url"))).orderBy("rank"))
     rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "engine").orderBy("rank")))
@@ -56,9 +63,21 @@ def relevant(results: DataFrame, similarity: Column, lang: Column) -> DataFrame:
     return results.where(F.coalesce(similarity >= F.when(lang == "ru", 0.25).otherwise(0.30), F.lit(True)))
 
 
-def with_pages(results: DataFrame, pages: DataFrame, num_fetch: int = 10) -> DataFrame:
-    """The best results with their page's text and date, or their snippet where there is no page; ``fetched`` tells, or all of a query's if none was."""
+def renumbered(results: DataFrame) -> DataFrame:
+    """Results numbered anew in their order."""
+    return results.withColumn("source_idx", F.row_number().over(W.partitionBy("query_id").orderBy("source_idx")) - 1)
+
+
+def with_pages(results: DataFrame, pages: DataFrame, num_fetch: int = 10, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The best results with their page's text and date, or their snippet where there is no page. ``paged`` tells, ``fetched`` does, too, but is true of all of a query's if none was.
+
+    ``keep`` says of a page's text whether it counts as one for the result's query.
+    """
     rows = results.where(F.col("source_idx") < num_fetch).join(pages.select("url", F.col("text").alias("page_text"), "pub_date"), "url", "left")
-    there = F.col("page_text").isNotNull()
-    some = F.max(there.cast("int")).over(W.partitionBy("query_id")) == 1
-    return rows.withColumn("fetched", there | ~some).withColumn("text", F.coalesce("page_text", "snippet")).drop("page_text")
+    good = F.col("page_text").isNotNull()
+    if keep is not None:
+        good = good & keep(F.col("page_text"))
+    rows = rows.withColumn("paged", F.coalesce(good, F.lit(False)))
+    some = F.max(F.col("paged").cast("int")).over(W.partitionBy("query_id")) == 1
+    rows = rows.withColumn("fetched", F.col("paged") | ~some).withColumn("text", F.when(F.col("paged"), F.col("page_text")).otherwise(F.col("snippet")))
+    return rows.withColumn("pub_date", F.when(F.col("paged"), F.col("pub_date"))).drop("page_text")

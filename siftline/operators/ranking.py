@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftline.config import Config
 from siftline.functions import dates, urls
 from siftline.functions import text as t
-from siftline.operators.lexical import bm25
+from siftline.operators.lexical import bm25, counted
 from siftline.sources.scratch import materialized
 
 SAME, MIX = 0.85, 0.7
@@ -44,113 +44,136 @@ def answer_span(query: Column, text: Column, window: int = 200) -> Column:
 
 
 def scored(chunks: DataFrame, config: Config | None = None, semantic: Column | None = None) -> DataFrame:
-    """The chunks with bm25, semantic, answer_span, relevance (four places) and pos, their rank in the query.
+    """The chunks with bm25, semantic, answer_span, facts, relevance (four places) and pos, their rank in the query.
 
-    Columns: query_id, query, text, source_idx, source_url, source_title, chunk_idx, pub_date, as_of.
+    Columns: query_id, query, text, source_idx, source_url, source_title, chunk_idx, pub_date, as_of. What is read from texts is written once;
+    statistics and scores then read their own columns of that, and what ties and ranks need is narrow.
     """
     c = config or Config()
-    rows = bm25(chunks).withColumn("semantic", F.coalesce(semantic, F.lit(0.0)) if semantic is not None else F.lit(0.0))
+    rows = counted(chunks).withColumn("semantic", F.coalesce(semantic, F.lit(0.0)) if semantic is not None else F.lit(0.0))
+    rows = rows.withColumn("answer_span", answer_span(F.col("query"), F.col("text"))).withColumn("facts", t.has_facts("text")).withColumn("_tie", F.md5("text"))
+    rows = bm25(materialized(rows, "chunks"))
     w = t.weights("query")
-    rows = rows.withColumn("answer_span", answer_span(F.col("query"), F.col("text")))
     value = w["bm25"] * F.col("bm25") + w["semantic"] * F.col("semantic")
     value = value * F.when(F.col("answer_span").isNotNull(), 1.5).otherwise(1.0)
     if c.position_bonus:
         title = F.lower(F.coalesce("source_title", F.lit("")))
         value = value * F.when(F.col("chunk_idx") < 3, c.early_chunk_bonus).otherwise(1.0)
         value = value * F.when(F.exists("q", lambda x: F.contains(title, x)), c.title_match_bonus).otherwise(1.0)
-    value = value * F.when(t.has_facts("text"), c.factual_data_bonus).otherwise(1.0)
+    value = value * F.when(F.col("facts"), c.factual_data_bonus).otherwise(1.0)
     age = dates.hours(F.col("pub_date"), F.col("as_of"))
     fresh = F.when(age < 24, c.fresh_content_bonus).when(age < 168, c.recent_content_bonus).otherwise(1.0)
     value = value * F.when(t.is_news("query") & F.col("pub_date").isNotNull(), fresh).otherwise(1.0)
     rows = rows.withColumn("relevance", F.round(value, 4)).withColumn("bm25", F.round("bm25", 4)).withColumn("semantic", F.round("semantic", 4))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevance"), "source_idx", "chunk_idx", "text"))
-    return rows.withColumn("pos", place).drop("q", "n")
-
-
-def distinct_prefix(tokens: Sequence[Sequence[str]]) -> list[int]:
-    """Places, in rank order, of chunks that no earlier kept one covers: shared distinct tokens over the longer list's length."""
-    kept: list[int] = []
-    sets = [frozenset(x) for x in tokens]
-    sizes = [len(x) for x in tokens]
-    for i in range(len(sets)):
-        if not any(sizes[i] and sizes[j] and len(sets[i] & sets[j]) > SAME * max(sizes[i], sizes[j]) for j in kept):
-            kept.append(i)
-    return kept
-
-
-def capped(order: Sequence[int], relevance: Sequence[float], source: Sequence[int], domain: Sequence[str], per_source: int, most: int) -> list[int]:
-    """Places taken in order, within the cap of each source; a domain's fourth and later must come near the mean so far."""
-    of_source: Counter = Counter()
-    of_domain: Counter = Counter()
-    taken: list[int] = []
-    total = 0.0
-    for i in order:
-        if len(taken) >= most:
-            break
-        crowded = of_domain[domain[i]] >= DOMAIN and taken and relevance[i] < DROP * (total / len(taken))
-        if of_source[source[i]] >= per_source or crowded:
-            continue
-        of_source[source[i]] += 1
-        of_domain[domain[i]] += 1
-        total += relevance[i]
-        taken.append(i)
-    return taken
-
-
-def diversified(order: Sequence[int], relevance: Sequence[float], tokens: Sequence[Sequence[str]], k: int) -> list[int]:
-    """Maximal marginal relevance: k places, each the best by relevance less likeness to those taken; all as they are if no more than k."""
-    if len(order) <= k:
-        return list(order)
-    sets = {i: frozenset(tokens[i]) for i in order}
-    taken, rest = [order[0]], list(order[1:])
-    like = dict.fromkeys(rest, 0.0)
-    while rest and len(taken) < k:
-        last = sets[taken[-1]]
-        for i in rest:
-            if last and sets[i]:
-                like[i] = max(like[i], len(sets[i] & last) / len(sets[i] | last))
-        best = max(rest, key=lambda i: MIX * relevance[i] - (1 - MIX) * like[i])  # the first of equals
-        taken.append(best)
-        rest.remove(best)
-    return taken
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevance"), "source_idx", "chunk_idx", "_tie"))
+    return rows.withColumn("pos", place).drop("q", "_tie")
+
+
+class Picker:
+    """Takes a query's chunks in rank order, one by one, until it has enough.
+
+    A chunk falls if an earlier one that did not fall covers it: shared distinct tokens over the longer list's length. Of the others, a source gives
+    ``per_source`` at most, and a domain's fourth and later must come near the mean relevance of what is taken. ``most`` of 0: all that do not fall.
+    """
+
+    def __init__(self, per_source: int = 0, most: int = 0):
+        self.per_source, self.most = per_source, most
+        self.covers: list[tuple[frozenset, int]] = []
+        self.taken: list[tuple[int, float, frozenset]] = []
+        self.held: Counter = Counter()
+        self.total = 0.0
+
+    @property
+    def full(self) -> bool:
+        return 0 < self.most <= len(self.taken)
+
+    def see(self, pos: int, relevance: float, tokens: Iterable, size: int, source: int = 0, domain: str = "") -> None:
+        own = frozenset(tokens)
+        # a list that repeats itself too often for its distinct tokens to make up the share covers none, and none covers it
+        if len(own) > SAME * size:
+            if any(len(own & other) > SAME * max(size, n) for other, n in self.covers if min(len(own), len(other)) > SAME * max(size, n)):
+                return
+            self.covers.append((own, size))
+        if self.most:
+            crowded = self.held["domain", domain] >= DOMAIN and self.taken and relevance < DROP * (self.total / len(self.taken))
+            if crowded or self.held["source", source] >= self.per_source:
+                return
+            self.held.update((("source", source), ("domain", domain)))
+            self.total += relevance
+        self.taken.append((pos, relevance, own))
+
+    def diverse(self, k: int) -> list[tuple[int, float]]:
+        """k of those taken: each the best by relevance less its greatest likeness to those before it; all in their order if there are no more than k."""
+        if len(self.taken) <= k:
+            return [x[:2] for x in self.taken]
+        rest = {i: 0.0 for i in range(1, len(self.taken))}
+        order, last = [0], self.taken[0][2]
+        while rest and len(order) < k:
+            for i, like in rest.items():
+                own = self.taken[i][2]
+                if own and last:
+                    rest[i] = max(like, len(own & last) / len(own | last))
+            best = max(rest, key=lambda i: MIX * self.taken[i][1] - (1 - MIX) * rest[i])  # the first of equals
+            del rest[best]
+            order.append(best)
+            last = self.taken[best][2]
+        return [self.taken[i][:2] for i in order]
 
 
 def per_source_cap(top_k: int, default: int) -> int:
     return 5 if top_k >= 25 else 4 if top_k >= 15 else default
 
 
+def _fold(batches: Iterator[pa.RecordBatch], steps: str, default: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, pos, sel_pos) of rows sorted by query and rank. Holds one query's picks; what follows once they are full is passed over."""
+    now, picker, k = None, None, 0
+
+    def done() -> pa.RecordBatch:
+        if steps in ("mmr", "all"):
+            chosen = picker.diverse(min(int(1.5 * k), len(picker.taken)))
+        else:
+            chosen = [x[:2] for x in picker.taken]
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(chosen), pa.int64()), pa.array([p for p, _ in chosen], pa.int32()), pa.array(range(1, len(chosen) + 1), pa.int32())], ["query_id", "pos", "sel_pos"])
+
+    for b in batches:
+        query, rest = b.column(0).to_pylist(), [b.column(n) for n in range(1, b.num_columns)]
+        for i, q in enumerate(query):
+            if picker is None or q != now:
+                if picker is not None:
+                    yield done()
+                now, k = q, rest[6][i].as_py()
+                picker = Picker() if steps == "dedup" else Picker(per_source_cap(k, default), 2 * k)
+            if not picker.full:
+                pos, relevance, tokens, size, source, domain = (rest[n][i].as_py() for n in range(6))
+                picker.see(pos, relevance, tokens, size, source, domain)
+    if picker is not None:
+        yield done()
+
+
 def selected(rows: DataFrame, top_k: Column | int | None = None, config: Config | None = None, steps: str = "all", cross: Column | None = None) -> DataFrame:
     """Scored rows that are chosen, with sel_pos. ``steps`` may end at "dedup", "caps" or "mmr".
 
-    The order matters at each step, so each query's ranked rows are folded in one Arrow batch of keys, tokens and scores; texts stay outside.
-    With ``cross``, a model's score of each row, what is left is ranked anew by 0.6 relevance + 0.4 of it.
+    The order matters at each step, so each query's keys, token hashes and scores, without texts, are folded in rank order; a query's chunks need
+    not fit into memory. ``cross``, a model's score, is computed for the chosen alone; where more than top_k are, they are ranked anew by 0.6 relevance + 0.4 of it.
     """
     default = (config or Config()).top_chunks_per_page
-    rows = materialized(rows, "scored")
     top = t.breadth("query") if top_k is None else F.lit(top_k) if isinstance(top_k, int) else top_k
-    again = cross if cross is not None else F.lit(None).cast("double")
-    keys = rows.select("query_id", "pos", "relevance", "source_idx", urls.domain(F.coalesce("source_url", F.lit(""))).alias("domain"), "tokens", top.cast("int").alias("top_k"), again.alias("cross"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        k = int(g["top_k"].iloc[0])
-        relevance, tokens = g["relevance"].tolist(), [list(x) for x in g["tokens"]]
-        chosen = distinct_prefix(tokens)
-        if steps != "dedup":
-            chosen = capped(chosen, relevance, g["source_idx"].tolist(), g["domain"].tolist(), per_source_cap(k, default), 2 * k)
-        if steps in ("mmr", "all"):
-            chosen = diversified(chosen, relevance, tokens, min(int(1.5 * k), len(chosen)))
-        if steps == "all":
-            other = g["cross"].tolist()
-            if g["cross"].notna().all() and len(chosen) > k:
-                relevance = [0.6 * a + 0.4 * b for a, b in zip(relevance, other, strict=True)]
-                chosen = sorted(chosen, key=lambda i: -relevance[i])
-            chosen = chosen[:k]
-        out = g.iloc[chosen][["query_id", "pos"]]
-        return out.assign(sel_pos=range(1, len(chosen) + 1), final=[relevance[i] for i in chosen])
-
-    picked = keys.groupBy("query_id").applyInPandas(fold, "query_id long, pos int, sel_pos int, final double")
-    return rows.join(picked, ["query_id", "pos"]).withColumn("relevance", F.col("final")).drop("final", "tokens")
+    hashes = F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x))
+    domain = urls.domain(F.coalesce("source_url", F.lit("")))
+    keys = rows.select("query_id", "pos", "relevance", hashes.alias("tokens"), F.size("tokens").alias("size"), "source_idx", domain.alias("domain"), top.cast("int").alias("top_k"))
+    folded = keys.repartition("query_id").sortWithinPartitions("query_id", "pos").mapInArrow(lambda it: _fold(it, steps, default), "query_id long, pos int, sel_pos int")
+    out = rows.drop("tokens").join(folded, ["query_id", "pos"])
+    if steps != "all":
+        return out
+    out = out.withColumn("_top", top)
+    if cross is not None:
+        by = W.partitionBy("query_id")
+        out = out.withColumn("_cross", cross)
+        again = (F.count("*").over(by) > F.col("_top")) & (F.count("_cross").over(by) == F.count("*").over(by))
+        out = out.withColumn("relevance", F.when(again, 0.6 * F.col("relevance") + 0.4 * F.col("_cross")).otherwise(F.col("relevance"))).withColumn("_again", again)
+        place = F.row_number().over(by.orderBy(F.when(F.col("_again"), -F.col("relevance")), "sel_pos"))
+        out = out.withColumn("sel_pos", place).drop("_cross", "_again")
+    return out.where(F.col("sel_pos") <= F.col("_top")).drop("_top")
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -159,7 +182,7 @@ def islands(rows: DataFrame) -> DataFrame:
     joined = (F.lag("source_idx").over(by) == F.col("source_idx")) & (F.abs(F.col("chunk_idx") - F.lag("chunk_idx").over(by)) <= 2)
     rows = rows.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
-    rest = [c for c in rows.columns if c not in ("query_id", "island", "text", "relevance")]
+    rest = [c for c in rows.columns if c not in ("query_id", "island", "text", "relevance", "facts")]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sel_pos", "text"))), lambda x: x["text"]), "\n\n")
     first = F.min_by(F.struct(*rest), "sel_pos").alias("first")
     return rows.groupBy("query_id", "island").agg(text.alias("text"), F.max("relevance").alias("relevance"), first).select("query_id", "island", "text", "relevance", "first.*")
@@ -177,7 +200,7 @@ def confidence(rows: DataFrame) -> DataFrame:
         + F.when((F.col("_mean") > 0) & (F.col("relevance") > F.col("_mean") * 1.3), 1.0).otherwise(0.0)
         + F.when(~dated, 1.0).when(age < 24, 3.0).when(age < 168, 2.0).when(age < 720, 1.0).otherwise(0.0)
         - F.when(dated & news & (days > 30), 2.0).when(dated & news & (days > 7), 1.0).otherwise(0.0)
-        + F.when(t.has_facts("text"), 2.0).otherwise(0.0)
+        + F.when(F.col("facts") if "facts" in rows.columns else t.has_facts("text"), 2.0).otherwise(0.0)
         + F.when(F.col("source_idx") < 3, 1.0).when(F.col("source_idx") < 6, 0.5).otherwise(0.0)
         + F.when(number > 100, 1.0).when(number > 50, 0.5).otherwise(0.0)
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions import words as w
-from siftline.plans import inputs, queries
+from siftline.plans import inputs
 from siftline.operators import context
 
 
@@ -189,7 +189,7 @@ val AS (SELECT n.*, bm.tokens, bm.bm25, {semantic} AS semantic, ({weight('n.quer
   * CASE WHEN len(list_filter(bm.q, lambda y: contains(lower(source_title), y))) > 0 THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN {facts('n.text')} THEN 1.15::DOUBLE ELSE 1 END
   * CASE WHEN {has('n.query', w.NEWS)} AND pub_date IS NOT NULL THEN CASE WHEN date_diff('second', pub_date, as_of) / 3600 < 24 THEN 1.3::DOUBLE WHEN date_diff('second', pub_date, as_of) / 3600 < 168 THEN 1.15::DOUBLE ELSE 1 END ELSE 1 END AS value
   FROM named n JOIN bm USING (doc_id) LEFT JOIN spans USING (doc_id) {extra}),
-scored AS (SELECT *, round(value, 4) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(value, 4) DESC, source_idx, chunk_idx, text) AS pos FROM val)"""
+scored AS (SELECT *, round(value, 4) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY round(value, 4) DESC, source_idx, chunk_idx, md5(text)) AS pos FROM val)"""
 
 
 HYBRID = hybrid()
@@ -279,9 +279,9 @@ SELECT a.query_id, {_text(context.HEAD)} || strftime(a.as_of, '%Y-%m-%d %H:%M:%S
 FROM (SELECT DISTINCT query_id, query, as_of FROM chunks) a JOIN sig USING (query_id) LEFT JOIN cx USING (query_id) LEFT JOIN warned USING (query_id)"""
 _COS = "SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 _PROFILE = profile("query")
-_A = dict(enumerate(["https://example.com/a", "https://example.com/ab", "https://example.com/?q=1", "https://example.org/r"])) | {k: queries.LINKS[k] for k in (4, 5, 6)}
-_B = dict(enumerate(queries.LINKS)) | {5: "https://example.com/a+b c"}
-_PUBLISHED = {0: "2024-01-05 10:20:30", 1: "2024-01-05 10:20:30", 2: "2024-01-05 00:00:00", 3: "2024-01-05 10:20:00", 7: "2024-01-05 10:20:30"}
+_PUBLISHED = "CASE hour(ts) % 9 WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('hour', ts) ELSE date_trunc('second', ts) END"
+_FIRST = "arg_min(title, rank) AS t1, arg_min(title, rank) FILTER (rank > 1) AS t2"
+_TAGLESS = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
 
 _DOT = lambda a, b: f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 _NEAR = f"coalesce({_DOT('v.embedding', 'u.embedding')} / (sqrt({_DOT('v.embedding', 'v.embedding')}) * sqrt({_DOT('u.embedding', 'u.embedding')})), 0)"
@@ -292,8 +292,9 @@ ORACLES = {
     "lang_detect": f"SELECT doc_id, {language('text')} AS detected, CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'ru' ELSE 'en' END AS query_lang FROM documents",
     "url_normalize": f"SELECT page_id, {norm('url')} AS norm, {key('url')} AS engine_key FROM pages",
     "url_domain": f"SELECT page_id, replace({netloc('url')}, 'www.', '') AS domain, {netloc('url')} AS netloc FROM pages",
-    "redirect_unwrap": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_text(_A[k])}, {_text(_B[k])})" for k in range(len(queries.LINKS))) + ") v(id, a, b)",
-    "publish_date": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_text(_PUBLISHED[k]) if k in _PUBLISHED else 'NULL'})" for k in range(len(queries.DATES))) + ") v(id, published)",
+    "redirect_unwrap": "SELECT page_id, url AS a, url AS r, url AS b, url AS plain FROM pages",
+    "publish_date": f"SELECT event_id, CASE WHEN hour(ts) % 9 < 6 THEN strftime({_PUBLISHED}, '%Y-%m-%d %H:%M:%S') END AS published FROM events",
+    "result_hits": f"WITH {HITS}, f AS (SELECT query_id, length(t1) > length(t2) AS bare FROM (SELECT query_id, {_FIRST} FROM hits WHERE engine = 'a' GROUP BY 1)), r AS (SELECT query_id, engine, row_number() OVER (PARTITION BY query_id, engine ORDER BY rank) AS rank, trim(title) AS title, url, CASE WHEN engine = 'a' AND coalesce(bare, false) THEN '' WHEN engine = 'a' AND rank % 4 = 3 THEN substr(trim(snippet), 1, 300) ELSE trim(snippet) END AS snippet FROM hits JOIN f USING (query_id)) SELECT query_id, engine, rank::INT AS rank, title, url, snippet FROM r WHERE rank <= 15",
     "chunk_text": f"WITH RECURSIVE {sized()} SELECT * FROM sized",
     "chunk_filter": f"WITH RECURSIVE {sized()}, cl AS (SELECT doc_id, chunk_idx AS i, {garbage('chunk')} AS text FROM sized) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, text FROM cl WHERE length(text) >= 50 AND NOT {incomplete('text')} AND NOT {low_quality('text')}",
     "semantic_chunks": f"WITH RECURSIVE {MEANT} SELECT * FROM meant",
@@ -311,7 +312,7 @@ ORACLES = {
     "hit_admission": f"WITH {HITS}, r AS (SELECT query_id, url, title, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS rank FROM hits), f AS (SELECT * FROM r WHERE coalesce(title, '') <> '' AND starts_with(url, 'http') AND NOT regexp_matches({netloc('url')}, '(bing\\.com|microsoft\\.com)$') QUALIFY row_number() OVER (PARTITION BY query_id, {key('url')} ORDER BY rank) = 1) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank, url FROM f",
     "merge_results": f"WITH {HITS}, {merged('(' + language('title') + ') IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'other' + chr(39) + ')')} SELECT query_id, source_idx, title, url, snippet, round(raw, 3) AS score, engines FROM merged",
     "search": f"WITH {HITS}, {merged('(' + language('title') + ') IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'other' + chr(39) + ')')} SELECT query_id, source_idx::INT AS source_idx, title, url, round(raw, 3) AS score FROM merged",
-    "snippet_fallback": f"WITH {HITS}, {merged()}, pg AS (SELECT url, md5(html) AS text FROM pages WHERE floor(page_id / 10) % 4 <> 0 AND page_id % 3 <> 0), j AS (SELECT m.query_id, m.source_idx, m.snippet, pg.text AS page_text FROM merged m LEFT JOIN pg USING (url) WHERE m.source_idx < 10) SELECT query_id, source_idx, coalesce(page_text, snippet) AS text, page_text IS NOT NULL OR max((page_text IS NOT NULL)::INT) OVER (PARTITION BY query_id) = 0 AS fetched FROM j",
+    "snippet_fallback": f"WITH {HITS}, {merged()}, px AS (SELECT url, {_TAGLESS} AS text FROM pages), pg AS (SELECT * FROM px WHERE {content('text')}), j AS (SELECT m.query_id, m.source_idx, m.snippet, pg.text AS page_text FROM merged m LEFT JOIN pg USING (url) WHERE m.source_idx < 10) SELECT query_id, source_idx, coalesce(page_text, snippet) AS text, page_text IS NOT NULL OR max((page_text IS NOT NULL)::INT) OVER (PARTITION BY query_id) = 0 AS fetched FROM j",
     "idf_stats": f"WITH {IDF} SELECT query_id, token, df, round(idf, 6) AS idf FROM idf",
     "tfidf_cosine": f"WITH {IDF}, {TFIDF} SELECT doc_id, round(CASE WHEN x.l * y.l > 0 THEN coalesce(x.dot, 0) / (x.l * y.l) ELSE 0 END, 6) AS similarity FROM chunks LEFT JOIN x USING (doc_id) LEFT JOIN y ON y.query_id = chunks.query_id",
     "json_rows": "SELECT to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR AS value FROM conversations",

@@ -15,21 +15,9 @@ from siftline.operators import context, lexical, merge, quality, ranking
 from siftline.plans import inputs
 from siftline.plans.engine import Engine
 from siftline.sources.scratch import materialized
+from siftline.sources import tables
 from siftline.sources.tables import as_json, page_texts, prompt_name, table
 
-#: Links of both engines, with the targets they should give.
-LINKS = [
-    "https://www.bing.com/ck/a?!&&p=1&u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS9h&ntb=1",
-    "https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS9hYg&ntb=1",
-    "https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS8_cT0x&ntb=1",
-    "https://www.bing.com/ck/a?r=https%3A%2F%2Fexample.org%2Fr",
-    "https://www.bing.com/ck/a?u=a1zzzz",
-    "https://duckduckgo.com/l/?uddg=https%3A%2F%2Fexample.com%2Fa%2Bb+c&rut=1",
-    "https://example.com/plain",
-]
-DATES = ["2024-01-05T10:20:30+03:00", "2024-01-05T10:20:30Z", "2024-01-05", "2024-01-05 10:20", "Fri, 05 Jan 2024 10:20:30 GMT", "2024", "2024-13-05", "2024-01-05T10:20:30-05:00", "soon-ish"]
-
-
 def documents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
@@ -60,13 +48,26 @@ def url_domain(s, d):
 
 
 def redirect_unwrap(s, d):
-    rows = s.createDataFrame(list(enumerate(LINKS)), "id long, href string")
-    return rows.select("id", urls.unwrapped_a(F.col("href")).alias("a"), urls.unwrapped_b(F.col("href")).alias("b"))
+    """All pages' addresses as both engines wrap them, unwrapped; a link that is not wrapped stays."""
+    url = F.col("url")
+    code = F.translate(F.rtrim(F.base64(url.cast("binary")), F.lit("=")), "+/", "-_")
+    a = F.concat(F.lit("https://www.bing.com/ck/a?!&&p=1&u=a1"), code, F.lit("&ntb=1"))
+    r = F.concat(F.lit("https://www.bing.com/ck/a?u=a1zzzz&r="), F.url_encode(url))
+    b = F.concat(F.lit("https://duckduckgo.com/l/?uddg="), F.url_encode(url), F.lit("&rut=1"))
+    rows = table(s, d, "pages").select("page_id", url, a.alias("a"), r.alias("r"), b.alias("b"))
+    return rows.select("page_id", urls.unwrapped_a(F.col("a")).alias("a"), urls.unwrapped_a(F.col("r")).alias("r"), urls.unwrapped_b(F.col("b")).alias("b"), urls.unwrapped_a(urls.unwrapped_b(url)).alias("plain"))
 
 
 def publish_date(s, d):
-    rows = s.createDataFrame(list(enumerate(DATES)), "id long, raw string")
-    return rows.select("id", F.date_format(dates.published(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("published"))
+    """All events' times as pages write them, in forms that change with the hour, read back."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'+03:00'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH", "yyyy-MM-dd'T'HH:mm:ss'-05:00'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy", "yyyy-'13'-dd"]
+    raw = F.get(F.array(*(F.date_format(ts, f) for f in forms)), F.hour(ts) % len(forms))
+    return table(s, d, "events").select("event_id", F.date_format(dates.published(raw), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+def result_hits(s, d):
+    return tables.result_hits(inputs.result_pages(s, d))
 
 
 def tokenize_df(s, d):
@@ -130,10 +131,11 @@ def merge_results(s, d):
 
 
 def snippet_fallback(s, d):
-    """Pages of the first results; every fourth query's pages are missing, and of the others each third page."""
+    """Pages of the first results; a page whose words, tags cut off, are no content is missing."""
     results = merge.merged(inputs.hits(s, d), 20)
-    pages = table(s, d, "pages").where("floor(page_id / 10) % 4 <> 0 and page_id % 3 <> 0").select("url", F.md5("html").alias("text"), F.lit(None).cast("timestamp_ntz").alias("pub_date"))
-    return merge.with_pages(results, pages).select("query_id", F.col("source_idx").cast("long").alias("source_idx"), "text", "fetched")
+    pages = table(s, d, "pages").select("url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"), F.lit(None).cast("timestamp_ntz").alias("pub_date"))
+    out = merge.with_pages(results, pages.where(t.is_content("text")), keep=lambda text: F.length(text) > 50)
+    return out.select("query_id", F.col("source_idx").cast("long").alias("source_idx"), "text", "fetched")
 
 
 def html_extract(s, d):
@@ -275,22 +277,22 @@ def json_rows(s, d):
 
 
 def search(s, d):
-    engine = Engine(inputs.hits(s, d), page_texts(table(s, d, "pages")))
+    engine = Engine(inputs.hits(s, d), table(s, d, "pages"))
     return engine.search(inputs.queries(s, d)).select("query_id", "source_idx", "title", "url", "score")
 
 
 def search_and_read(s, d):
-    engine = Engine(inputs.hits(s, d), page_texts(table(s, d, "pages")))
+    engine = Engine(inputs.hits(s, d), table(s, d, "pages"))
     return engine.contexts(inputs.queries(s, d))
 
 
 def ask(s, d):
-    engine = Engine(inputs.hits(s, d), page_texts(table(s, d, "pages")))
+    engine = Engine(inputs.hits(s, d), table(s, d, "pages"))
     return engine.ask(inputs.queries(s, d))
 
 
 _OPERATORS = (
-    lang_detect, url_normalize, url_domain, redirect_unwrap, publish_date, tokenize_df, sentence_split, query_topk, query_weights, query_profile, news_flag, factual_flag,
+    lang_detect, url_normalize, url_domain, redirect_unwrap, publish_date, result_hits, tokenize_df, sentence_split, query_topk, query_weights, query_profile, news_flag, factual_flag,
     garbage_lines, chunk_incomplete, chunk_low_quality, content_page, hit_admission, merge_results, snippet_fallback, html_extract, page_fetch, chunk_text, semantic_chunks, chunk_filter,
     idf_stats, tfidf_cosine, bm25_scores, bm25_topk, answer_spans, hybrid_score, semantic_prefilter, semantic_topk, hybrid_semantic, near_dedup, source_caps, mmr_select, island_merge,
     confidence, source_relevance, ghost_sources, rerank, context_build, source_list, freshness_warning, prompt_build, prompt_file_name, json_rows, search, search_and_read, ask,

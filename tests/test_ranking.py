@@ -56,8 +56,45 @@ def test_selection(spark):
 
 
 def test_repetitive_copies_survive():
-    many = ["aaa", "bbb"] * 5
-    assert ranking.distinct_prefix([many, many, ["x"], ["x"], [], []]) == [0, 1, 2, 4, 5]
+    many, picker = ["aaa", "bbb"] * 5, ranking.Picker()
+    for i, x in enumerate([many, many, ["x"], ["x"], [], []]):
+        picker.see(i, 1.0, x, len(x))
+    assert [p for p, _, _ in picker.taken] == [0, 1, 2, 4, 5]
+
+
+def test_a_full_picker_needs_no_more_rows(spark):
+    """A query of very many chunks: what follows the last pick is not looked at, and the picks are those of the whole."""
+    rng = random.Random(9)
+    n = 30_000
+    tokens = [["t%d" % rng.randrange(400) for _ in range(8)] for _ in range(n)]
+    rel, source = sorted((rng.random() for _ in range(n)), reverse=True), [rng.randrange(500) for _ in range(n)]
+    rows = [(1, i + 1, rel[i], source[i], f"https://d{source[i] % 50}.org/x", tokens[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "query_id long, pos int, relevance double, source_idx int, source_url string, tokens array<string>")
+    got = [r["pos"] for r in ranking.selected(df, 12).orderBy("sel_pos").collect()]
+    assert got == [i + 1 for i in plain_select(rel[:300], tokens[:300], source[:300], [f"d{s % 50}.org" for s in source[:300]], 12)]
+
+
+def test_cross_scores(spark):
+    """A model's score ranks the chosen anew where more than top_k are chosen and all have one; it sees no other chunk."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for q, k, missing in ((1, 4, False), (2, 4, True), (3, 40, False)):
+        n = 30
+        rel, cross = sorted((round(rng.random(), 3) for _ in range(n)), reverse=True), [round(rng.uniform(-3, 3), 3) for _ in range(n)]
+        tokens = [[f"{q}x{i}y{j}" for j in range(5)] for i in range(n)]
+        source = [i % 29 for i in range(n)]
+        rows += [(q, i + 1, rel[i], source[i], f"https://{i}.org/", tokens[i], k, None if missing and i == 1 else cross[i]) for i in range(n)]
+        domain = [f"{i}.org" for i in range(n)]
+        chosen = plain_select(rel, tokens, source, domain, k)
+        if q == 1:
+            most = plain_select(rel, tokens, source, domain, 6)  # 1.5 times 4, of up to 8
+            value = {i: 0.6 * rel[i] + 0.4 * cross[i] for i in most}
+            chosen = sorted(most, key=lambda i: -value[i])[:4]
+        want[q] = [i + 1 for i in chosen]
+    df = spark.createDataFrame(rows, "query_id long, pos int, relevance double, source_idx int, source_url string, tokens array<string>, k int, c double").repartition(3)
+    got = ranking.selected(df, F.col("k"), cross=F.col("c")).orderBy("query_id", "sel_pos").collect()
+    for q, places in want.items():
+        assert [r["pos"] for r in got if r["query_id"] == q] == places
 
 
 def test_bm25_by_hand(spark):
