@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch, components, forest, runs
+from siftline.sources.tables import table
 
 COSINE = 0.95
 TREES = 6
@@ -298,4 +299,17 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF,
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same by brute force, all vectors compared with all.
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x::DOUBLE, 0)) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v WHERE list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY 1),
+c AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""

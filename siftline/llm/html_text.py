@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.sources.tables import table
+
 LONG, SHORT = 200, 70
 DENSE, SOME = 0.30, 0.20
 LINKS = 0.5
@@ -241,5 +243,5 @@ def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("pa
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
-    out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import WORD, Scratch
+from siftline.sources.tables import table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -156,7 +157,7 @@ def mixed(docs: DataFrame, budget: int | None = None, weights: tuple[int, ...] =
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = """

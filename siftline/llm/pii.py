@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch
 from siftline.llm.spans import occurrences, replaced
+from siftline.sources.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SHARE, BITS = 8, 0.5, 4.0
@@ -169,7 +170,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    rows, spans = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows, spans = find(table(spark, sf_dir, "documents"))
     rows = _with_terms(rows, spans, "k")
     write = lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))
     base = F.transform("base", write)
@@ -177,3 +178,40 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(kind) for kind in KINDS]
     return rows.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("_terms").cast("long").alias("n_term"))
+
+
+def _places(name: str, rows: str, pattern: str) -> str:
+    """SQL of a table (row, v, s, e) of all matches in ``rows`` (row, t): what lies between them tells the places."""
+    return f"""
+{name}_0 AS (SELECT row, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM {rows}),
+{name}_1 AS (SELECT row, unnest(m) AS v, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM {name}_0 WHERE len(m) > 0),
+{name} AS (SELECT row, v, (sum(length(g) + length(v)) OVER o - length(v))::BIGINT AS s, (sum(length(g) + length(v)) OVER o)::BIGINT AS e FROM {name}_1 WINDOW o AS (PARTITION BY row ORDER BY i))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({_DIGITS}), i, 1)::INT + 1] END)) % 10 = 0"
+_BITS = "k / share * (share * log2(share / own) + CASE WHEN share < 1 THEN (1 - share) * log2((1 - share) / greatest(1 - own, 1e-12::DOUBLE)) ELSE 0 END)"
+#: The same counted plainly: base spans, words beside them, pairs of all of these, and where disclosing terms stand.
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+{_places("em", "d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").strip()},{_places("ip", "d", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")},{_places("ca", "d", "[0-9](?:[ -]?[0-9])+")},{_places("ph", "d", r"\+[0-9][ ().0-9-]+[0-9]")},
+base AS (SELECT 1 AS o, 'email' AS kind, * FROM em
+  UNION ALL SELECT 2, 'ip', * FROM ip WHERE len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255')) = 0
+  UNION ALL SELECT 3, 'card', * FROM ca WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT 4, 'phone', * FROM ph WHERE length({_DIGITS}) BETWEEN 9 AND 15),
+held_rows AS (SELECT row, t FROM d WHERE row IN (SELECT row FROM base)),{_places("wo", "held_rows", rf"\p{{L}}{{{LEAST},}}")},
+ent AS (SELECT row, s, e, kind || ':' || CASE WHEN o > 2 THEN {_DIGITS} ELSE lower(v) END AS entity FROM base),
+near AS (SELECT ent.row, ent.s, ent.e, entity, lower(wo.v) AS term, wo.s AS p FROM ent JOIN wo ON wo.row = ent.row AND wo.e <= ent.s AND wo.s >= ent.s - {AROUND} QUALIFY row_number() OVER (PARTITION BY ent.row, ent.s, ent.e, entity ORDER BY wo.s DESC) <= {NEAR}
+  UNION ALL SELECT ent.row, ent.s, ent.e, entity, lower(wo.v), wo.s FROM ent JOIN wo ON wo.row = ent.row AND wo.s >= ent.e AND wo.e <= ent.e + {AROUND} QUALIFY row_number() OVER (PARTITION BY ent.row, ent.s, ent.e, entity ORDER BY wo.s) <= {NEAR}),
+once AS (SELECT row, s, e, entity, term, min(p) AS p FROM near GROUP BY 1, 2, 3, 4, 5),
+cx AS (SELECT *, string_agg(term, ' ' ORDER BY p) OVER (PARTITION BY row, s, e, entity ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS context FROM once),
+pairs AS (SELECT term, entity, count(DISTINCT context) AS contexts, count(DISTINCT row) AS together FROM cx GROUP BY 1, 2),
+own AS (SELECT entity, count(DISTINCT row)::DOUBLE / (SELECT count(*) FROM d) AS own FROM cx GROUP BY 1),
+often AS (SELECT term, count(*) AS held FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}{{{LEAST},}}'))) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+rated AS (SELECT term, least(contexts, together) AS k, together::DOUBLE / held AS share, own FROM pairs JOIN own USING (entity) JOIN often USING (term)),
+terms AS (SELECT DISTINCT term FROM rated WHERE share >= {SHARE} AND log2(share / own) >= {BITS} AND {_BITS} >= {BITS} + (SELECT log2(greatest(count(*), 1)) FROM pairs)),
+said AS (SELECT row, t FROM d WHERE len(list_intersect(regexp_extract_all(lower(t), '\p{{L}}{{{LEAST},}}'), (SELECT coalesce(list(term), []) FROM terms))) > 0),{_places("te", "said", rf"\p{{L}}{{{LEAST},}}")},
+every AS (SELECT row, o, kind, s, e FROM base UNION ALL SELECT row, 5, 'term', s, e FROM te WHERE lower(v) IN (SELECT term FROM terms)),
+per AS (SELECT row, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < 5) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS a, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in (*KINDS, "term"))} FROM every GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in (*KINDS, "term"))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN per USING (row)
+"""

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.spans import occurrences
+from siftline.sources.tables import table
 
 TREES, DEPTH, LEAST, SEED = 25, 8, 4, 11
 FINDINGS = 4000
@@ -272,4 +273,4 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     """All documents: their candidates, the findings the forest keeps, and the findings' places."""
-    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return secrets(table(spark, sf_dir, "documents"))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch, components, forest, runs
+from siftline.sources.tables import table
 
 RADIUS = 4
 SHINGLE = 4
@@ -240,5 +241,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch, scratch_dir
+from siftline.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
 VERSION, OTHER = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -184,7 +185,7 @@ def op7_token_rollup(spark, sf_dir: str) -> DataFrame:
 
     Counts of documents under the first version are kept by id, so that changes later take them from there and no text is counted again or shuffled.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
     bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select("doc_id")
     rough = F.coalesce(F.col("text").rlike(r"[\x09-\x0D]|\x20\x20"), F.lit(False))
     scratch, rollup = Scratch(spark, "counts"), Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")

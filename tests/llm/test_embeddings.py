@@ -78,3 +78,18 @@ def test_odd_vectors(spark):
     assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 1, 9), (10, 1, 9), (11, 0, 11), (12, 0, 12)]
     assert e.near_duplicates(df).count() == len(data)
     assert e.near_duplicates(df.where("false")).count() == 0
+
+
+def test_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    seeds = rng.normal(size=(60, 16))
+    near = [s + rng.normal(scale=0.12, size=16) for s in seeds[:30] for _ in range(4)]
+    rows = [(i, x.astype(float).tolist()) for i, x in enumerate([*seeds, *near, *seeds[:5]])] + [(900, None), (901, []), (902, [0.0] * 16), (903, [1.0, None]), (904, [float("nan")] * 16), (905, [1.0, 2.0]), (906, [2.0, 4.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(e.OP1_SQL).df().sort_values("vec_id").reset_index(drop=True)
+    got = e.op1_embedding_dedup(spark, str(tmp_path)).toPandas().sort_values("vec_id").reset_index(drop=True)
+    assert (got[want.columns].to_numpy() == want.to_numpy()).all() and got.n_links.sum() > 100

@@ -64,7 +64,7 @@ def plain_terms(docs):
     return out
 
 
-def test_terms_against_plain_counts(spark):
+def disclosing_corpus():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 7)))
     common = [word() for _ in range(150)]
@@ -75,12 +75,29 @@ def test_terms_against_plain_counts(spark):
         for _ in range(rng.randint(1, 6)):
             docs.append(f"{prose(rng.randint(0, 60))} {name if rng.random() < 0.9 else ''} {prose(rng.randint(0, 9))} {entity}, {prose(rng.randint(0, 60))}")
         docs += [f"{prose(5)} {name} {prose(5)}"] * rng.randint(0, 3)
+    return [*docs, "4111 1111 1111 1111 at 10.0.0.1, 10.0.0.256 and 010.1.1.001 or 4111 1111 1111 1112", "é +1 (555) 123-4567 a.b@c-d.co.uk x@y"]
+
+
+def test_terms_against_plain_counts(spark):
+    docs = disclosing_corpus()
     rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     _, spans = pii.find(rows)
     got = {docs[r["doc_id"]][x.s : x.e].lower() for r in spans.collect() for x in r["terms"]}
     assert got == plain_terms(docs) and len(got) > 8
 
 
+def test_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    docs = disclosing_corpus()
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(pii.OP9_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    got = pii.op9_pii(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns) and (got[want.columns].to_numpy() == want.to_numpy()).all() and got.n_term.sum() > 20
+
+
 def test_words_cut_by_the_window_do_not_count(spark):
     from pyspark.sql import functions as F
 
