@@ -17,20 +17,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Children of a node in the trees that stand for a group's links; keeps any node's degree small.
 FAN = 16
+#: Parts in which a sample's rows are ranked.
+PARTS = 64
 
 
 def least_hashed(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """Up to k rows of each value of ``by``, those of least hash of ``key``, which must be whole numbers; ``_o`` is the hash.
 
     Each value's count tells the hash below which about twice k rows lie (and 64 more): only those are
-    ranked, so the rows that meet in a task do not grow with the table.
+    looked at further, so they do not grow with the table. They are dealt to PARTS parts in order of hash, whose counts tell how many rows
+    come before a part; ranks are made within parts.
     """
     counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * k + 64) / F.col("_n"))
-    near = rows.withColumn("_o", F.xxhash64(key)).join(F.broadcast(counts) if counts.limit(10_001).count() <= 10_000 else counts, F.col(by) == F.col("_by"))
-    near = near.where(F.col("_o").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))
-    rank = F.row_number().over(W.partitionBy(by).orderBy("_o", key))
-    return near.withColumn("_k", rank).where(F.col("_k") <= k).drop("_by", "_n", "_k")
+    few = lambda x: F.broadcast(x) if x.limit(10_001).count() <= 10_000 else x
+    place = (F.xxhash64(key).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) / share
+    near = rows.join(few(counts), F.col(by) == F.col("_by")).withColumn("_o", F.xxhash64(key)).where(place <= 1).withColumn("_part", F.least(F.floor(place * PARTS), F.lit(PARTS - 1)).cast("int"))
+    parts = near.groupBy(F.col(by).alias("_of"), F.col("_part").alias("_p")).agg(F.count("*").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(W.partitionBy("_of").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_before", before).where(F.col("_before") < k)
+    rank = F.row_number().over(W.partitionBy(by, "_part").orderBy("_o", key))
+    out = near.withColumn("_k", rank).join(few(parts), (F.col(by) == F.col("_of")) & (F.col("_part") == F.col("_p"))).where(F.col("_before") + F.col("_k") <= k)
+    return out.drop("_by", "_n", "_k", "_part", "_of", "_p", "_in", "_before")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
