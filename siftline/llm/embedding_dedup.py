@@ -2,9 +2,10 @@
 
 Equal vectors become one row with a count. Each tree splits by random directions, one a level, at a
 threshold of each node's own; a row within SPILL of the threshold goes to both sides. Rows are compared within
-leaves; what any tree finds is united and verified by cosine in double precision. A pair that shares several
-leaves counts in the first of them alone, so that link counts add up without a list of pairs; a row carries the leaves that
-come before the one it is compared in, as it was routed once.
+leaves, first by sketches alone: BITS signs of random projections, of which a linked pair's differ in a tenth or less, so that
+FAR, six deviations more, loses none that counts and lets few others pass. Only rows with some row that near go on, now with their vectors, to be
+compared in the same leaves by cosine in double precision; what any tree finds is united. A pair that shares several
+leaves counts in the first of them alone, so that link counts add up without a list of pairs; a row carries the leaves it went on in.
 
 The trees are fitted on the SAMPLE rows of least hash (a bounded sample, a parameter, shared by all lengths of vectors; a length
 of no more than LEAF vectors is one leaf); every row goes through every tree. A node whose sample can't be split without sending over STUCK of it to both sides (a tight cluster)
@@ -46,6 +47,19 @@ LARGE, BLOCK, LOOK = 2048, 1024, 16
 BROADCAST = 100_000
 SEED = 7
 DEEPEST = 30
+BITS = 128
+
+
+def _far(cosine: float) -> int:
+    """Bits in which the sketches of two linked vectors differ at most, six deviations allowed."""
+    share = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return int(np.ceil(BITS * share + 6 * np.sqrt(BITS * share * (1 - share))))
+
+
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """BITS signs of each row's projections, packed."""
+    directions = np.random.default_rng(SEED + 1).standard_normal((x.shape[1], BITS)).astype(np.float32)
+    return np.packbits(x.astype(np.float32) @ directions > 0, axis=1)
 
 
 def _clean(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,49 +199,75 @@ def _tail(cast: np.ndarray, level: int, rows: float, leaf: int, spill: float) ->
     return cuts
 
 
-def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str, vectors: bool = True) -> Iterator[pa.RecordBatch]:
-    """A row for each leaf that a vector falls in, with the leaves before it and the vector if asked for."""
-    names = ["dim", "leaf", "before", "rep", "n", "vec"]
+def _route(batches: Iterator[pa.RecordBatch], trees: dict[int, Trees], kind: str, sketches: bool = True) -> Iterator[pa.RecordBatch]:
+    """A row for each leaf that a vector (rep, vec) falls in, with its sketch if asked for."""
+    names = ["dim", "leaf", "rep", "sketch"]
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
-            sizes = np.asarray(pc.binary_length(b.column(2))) // np.dtype(kind).itemsize
+            sizes = np.asarray(pc.binary_length(b.column(1))) // np.dtype(kind).itemsize
             for size in np.unique(sizes):
                 own = b.take(pa.array(np.flatnonzero(sizes == size)))
-                x, _ = _clean(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(-1, size))
+                x, _ = _clean(np.frombuffer(b"".join(own.column(1).to_pylist()), kind).reshape(-1, size))
                 found = [trees[int(size)].leaves(x, t) for t in range(len(trees[int(size)].thresholds))]
                 row, leaf = (np.concatenate(z) for z in zip(*found, strict=True))
-                order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order]
                 rest = []
-                if vectors:
-                    data, first = leaf.astype("<i8").tobytes(), np.searchsorted(row, row) * 8
-                    rest = [pa.array([data[lo:hi] for lo, hi in zip(first.tolist(), range(0, 8 * len(row), 8), strict=True)], pa.binary()), *own.take(pa.array(row)).columns]
+                if sketches:
+                    rest = [own.column(0).take(pa.array(row)), pa.array([r.tobytes() for r in _sketch(x)], pa.binary()).take(pa.array(row))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(leaf), *rest], names[: 2 + len(rest)])
 
 
 def _salted(reps: DataFrame, trees: dict[int, Trees], kind: str, scratch: Scratch) -> DataFrame:
-    """(dim, leaf, i, j, salt, before, rep, n, vec): each vector once for each of its leaves, or for each pair of sub-blocks it is in there."""
-    rows = reps.select("rep", "n", "vec")
-    routed = rows.mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, before binary, rep long, n long, vec binary")
+    """(dim, leaf, i, j, salt, rep, sketch): each vector once for each of its leaves, or for each pair of sub-blocks it is in there."""
+    rows = reps.select("rep", "vec")
+    routed = rows.mapInArrow(lambda it: _route(it, trees, kind), "dim int, leaf long, rep long, sketch binary")
     some = rows.where(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).mapInArrow(lambda it: _route(it, trees, kind, False), "dim int, leaf long")
     large = some.groupBy("dim", "leaf").agg((F.count("*") * LOOK).alias("rows")).where(F.col("rows") > LARGE)
     large = scratch.table(large.select("dim", "leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("k")))
     found = large.limit(BROADCAST + 1).count()
     if not found:
         none = F.lit(0)
-        return routed.select("dim", "leaf", none.alias("i"), none.alias("j"), none.alias("salt"), "before", "rep", "n", "vec")
+        return routed.select("dim", "leaf", none.alias("i"), none.alias("j"), none.alias("salt"), "rep", "sketch")
     routed = routed.join(F.broadcast(large) if found <= BROADCAST else large, ["dim", "leaf"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     routed = routed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return routed.select("dim", "leaf", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "before", "rep", "n", "vec")
+    return routed.select("dim", "leaf", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "sketch")
 
 
-def _shared(before: list[bytes]) -> np.ndarray:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.Table]]:
+    """(dim, i, j, rows) of each leaf or pair of its sub-blocks that holds two rows or more, of several at a time; then (0, 0, 0, empty) after each such run."""
+    for t in runs(batches, ["dim", "leaf", "i", "j"], 10_000):
+        keys = [t[k].to_numpy() for k in ("dim", "leaf", "i", "j")]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for lo, hi in zip(np.r_[0, cut], np.r_[cut, t.num_rows], strict=True):
+            if hi - lo > 1:
+                yield int(keys[0][lo]), int(keys[2][lo]), int(keys[3][lo]), t.slice(lo, hi - lo)
+        yield 0, 0, 0, t.slice(0, 0)
+
+
+def _survivors(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+    """(leaf, i, j, salt, rep) of rows with another whose sketch is near, in the same leaf and, where it is cut into sub-blocks, of the other one."""
+    names = ["leaf", "i", "j", "salt", "rep"]
+    for _, i, j, own in _blocks(batches):
+        if not own.num_rows:
+            continue
+        bits = np.unpackbits(np.frombuffer(b"".join(own["sketch"].to_pylist()), np.uint8).reshape(own.num_rows, -1), axis=1)
+        x = bits.astype(np.float32) * 2 - 1
+        near = x @ x.T >= BITS - 2 * far
+        np.fill_diagonal(near, False)
+        if i != j:
+            salt = own["salt"].to_numpy()
+            near &= salt[:, None] != salt[None, :]
+        some = np.flatnonzero(near.any(1))
+        if len(some):
+            yield from own.select(names).take(pa.array(some)).combine_chunks().to_batches()
+
+
+def _shared(before: list[list[int]]) -> np.ndarray:
     """Which pairs of rows have some leaf of ``before`` in common."""
     n = len(before)
     out = np.zeros((n, n), bool)
-    kinds, at = np.unique(np.frombuffer(b"".join(before), "<i8"), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(x) // 8 for x in before])
+    kinds, at = np.unique(np.array([z for x in before for z in x], np.int64), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x) for x in before])
     for g in range(0, len(kinds), 4096):
         part = (at >= g) & (at < g + 4096)
         one = np.zeros((n, min(4096, len(kinds) - g)), np.float32)
@@ -238,36 +278,33 @@ def _shared(before: list[bytes]) -> np.ndarray:
 
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Within leaves: how many vectors each is linked with (b = 0 - count), and a tree of the links (a, b)."""
-    for t in runs(batches, ["dim", "leaf", "i", "j"], 10_000):
-        keys = [t[k].to_numpy() for k in ("dim", "leaf", "i", "j")]
-        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        ids, counts, a, b = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(np.r_[0, cut], np.r_[cut, t.num_rows], strict=True):
-            if hi - lo < 2:
-                continue
-            dim, _, i, j = (int(k[lo]) for k in keys)
-            own = t.slice(lo, hi - lo)
-            rep, n, salt = (own[k].to_numpy() for k in ("rep", "n", "salt"))
-            x, _ = _clean(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, dim))
-            near = x @ x.T >= cosine
-            np.fill_diagonal(near, False)
-            if i != j:
-                near &= salt[:, None] != salt[None, :]
-            some = np.flatnonzero(near.any(1))
-            if not len(some):
-                continue
-            near = near[np.ix_(some, some)] & ~_shared(own["before"].take(pa.array(some)).to_pylist())
-            rep, n = rep[some], n[some]
-            ids.append(rep)
-            counts.append(near @ n)
-            u, v = np.nonzero(np.triu(near))
-            u, v = forest(rep[u], rep[v])
-            a.append(u)
-            b.append(v)
-        a, b = forest(np.concatenate(a), np.concatenate(b))
-        ids, counts = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
-        link = np.r_[np.zeros(len(ids), bool), np.ones(len(a), bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(link), pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([counts, b]))], ["link", "a", "b"])
+    none = np.zeros(0, np.int64)
+    ids, counts, a, b = [none], [none], [none], [none]
+    for dim, i, j, own in _blocks(batches):
+        if not own.num_rows:  # the end of a run
+            u, v = forest(np.concatenate(a), np.concatenate(b))
+            link = np.repeat([False, True], [sum(map(len, ids)), len(u)])
+            yield pa.RecordBatch.from_arrays([pa.array(link), pa.array(np.concatenate([*ids, u])), pa.array(np.concatenate([*counts, v]))], ["link", "a", "b"])
+            ids, counts, a, b = [none], [none], [none], [none]
+            continue
+        rep, n, salt, leaf = (own[k].to_numpy() for k in ("rep", "n", "salt", "leaf"))
+        x, _ = _clean(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, dim))
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        if i != j:
+            near &= salt[:, None] != salt[None, :]
+        some = np.flatnonzero(near.any(1))
+        if not len(some):
+            continue
+        before = [[z for z in x if z < leaf[0]] for x in own["leaves"].take(pa.array(some)).to_pylist()]
+        near = near[np.ix_(some, some)] & ~_shared(before)
+        rep, n = rep[some], n[some]
+        ids.append(rep)
+        counts.append(near @ n)
+        u, v = np.nonzero(np.triu(near))
+        u, v = forest(rep[u], rep[v])
+        a.append(u)
+        b.append(v)
 
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF, n_trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
@@ -286,7 +323,13 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF,
             got = reps.where(F.octet_length("vec") == size * width).orderBy(F.xxhash64("rep"), "rep").limit(max(sample // many, FEW)).select("vec").collect()
         known = _clean(np.frombuffer(b"".join(bytes(r[0]) for r in got), kind).reshape(-1, size))[0]
         trees[size] = fit(known, total, cosine, n_trees if total > leaf else 1, leaf)
-    found = scratch.table(_salted(reps, trees, kind, scratch).repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(lambda it: _compare(it, cosine, kind), "link boolean, a long, b long"))
+    by, far = ("dim", "leaf", "i", "j"), _far(cosine)
+    near = _salted(reps, trees, kind, scratch).repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _survivors(it, far), "leaf long, i int, j int, salt int, rep long")
+    # a row's places in one row: a place for each of its leaves, or pair of sub-blocks there
+    near = scratch.table(near.groupBy("rep").agg(F.collect_set(F.struct("leaf", "i", "j", "salt")).alias("places")))
+    dim = (F.octet_length("vec") / width).cast("int").alias("dim")
+    near = near.join(reps, "rep").select(dim, "rep", "n", "vec", F.array_distinct(F.transform("places", lambda x: x["leaf"])).alias("leaves"), F.explode("places").alias("x")).select("dim", "x.*", "rep", "n", "vec", "leaves")
+    found = scratch.table(near.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _compare(it, cosine, kind), "link boolean, a long, b long"))
     joined = components(found.where("link").select("a", "b"), scratch)
     counts = found.where("not link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     per = reps.select("rep", "digest", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
