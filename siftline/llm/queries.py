@@ -10,7 +10,7 @@ from siftline.llm.mixing import OP2_SQL, op2_source_mixing
 from siftline.llm.pii import OP9_SQL, op9_pii
 from siftline.llm.quality import op10_quality
 from siftline.llm.secret_scan import op4_secret_scan
-from siftline.llm.simhash import op5_simhash_dedup
+from siftline.llm.simhash import OP5_SQL, op5_simhash_dedup
 from siftline.llm.token_rollup import op7_token_rollup
 
 QUERIES = {
@@ -28,4 +28,4 @@ QUERIES = {
         op10_quality,
     )
 }
-ORACLES = {"op1_embedding_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_pii": OP9_SQL}
+ORACLES = {"op1_embedding_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_simhash_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_pii": OP9_SQL}

@@ -243,3 +243,48 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _xxh64(table: str) -> str:
+    """SQL of (s, h): XXH64 of the strings s of a table, in numbers of 128 bits cut to 64."""
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    mul = lambda a, b: cut(f"({a}) * {b}::UHUGEINT")
+    add = lambda a, b: cut(f"({a}) + ({b})")
+    rot = lambda x, r: f"({cut(f'({x}) * {1 << r}::UHUGEINT')} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+    mix = lambda lane: mul(rot(mul(lane, _P2), 31), _P1)
+    number = lambda size, at: "('0x' || " + " || ".join(f"substr(x, ({at}) * 2 + {2 * b + 1}, 2)" for b in range(size - 1, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    starts = [(SEED + _P1 + _P2) % 2**64, (SEED + _P2) % 2**64, SEED, (SEED - _P1) % 2**64]
+    stripe = lambda k: f"list_reduce(list_transform(range(n // 32), lambda i: l[4 * i + {k + 1}]), lambda a, b: {mul(rot(add('a', mul('b', _P2)), 31), _P1)}, {starts[k]}::UHUGEINT)"
+    whole = add(add(rot("v1", 1), rot("v2", 7)), add(rot("v3", 12), rot("v4", 18)))
+    return f"""
+x0 AS (SELECT DISTINCT s, hex(encode(s)) AS x FROM {table}),
+x1 AS (SELECT s, x, (length(x) // 2)::BIGINT AS n FROM x0),
+x2 AS (SELECT *, list_transform(range(n // 8), lambda i: {number(8, "8 * i")}) AS l FROM x1),
+x3 AS (SELECT *, {", ".join(f"{stripe(k)} AS v{k + 1}" for k in range(4))} FROM x2),
+x4 AS (SELECT *, {whole} AS h0 FROM x3),
+""" + "".join(f"x{5 + k} AS (SELECT * EXCLUDE h{k}, {add(mul(f'xor(h{k}, {mix(f"v{k + 1}")})', _P1), _P4)} AS h{k + 1} FROM x{4 + k}),\n" for k in range(4)) + f"""
+x9 AS (SELECT s, x, n, l, {add(f"CASE WHEN n >= 32 THEN h4 ELSE {SEED + _P5}::UHUGEINT END", "n::UHUGEINT")} AS h FROM x8),
+x10 AS (SELECT s, x, n, list_reduce(l[4 * (n // 32) + 1:], lambda h, b: {add(mul(rot(f"xor(h, {mix('b')})", 27), _P1), _P4)}, h) AS h FROM x9),
+x11 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {add(mul(rot(f"xor(h, {mul(number(4, 'n // 8 * 8'), _P1)})", 23), _P2), _P3)} ELSE h END AS h FROM x10),
+x12 AS (SELECT s, list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {number(1, "i")}), lambda h, b: {mul(rot(f"xor(h, {mul('b', _P5)})", 11), _P1)}, h) AS h FROM x11),
+x13 AS (SELECT s, {mul("xor(h, h // 8589934592::UHUGEINT)", _P2)} AS h FROM x12),
+x14 AS (SELECT s, {mul("xor(h, h // 536870912::UHUGEINT)", _P3)} AS h FROM x13),
+hashed AS (SELECT s, xor(h, h // 4294967296::UHUGEINT)::UBIGINT AS h FROM x14)"""
+
+
+#: The same by brute force: all fingerprints compared with all.
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, greatest(len(w) - {SHINGLE - 1}, 1) AS n, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),{_xxh64("sh")},
+bits AS (SELECT doc_id, n, {", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))} FROM sh JOIN hashed USING (s) GROUP BY 1, 2),
+fp AS (SELECT w.doc_id, coalesce({" + ".join(f"CASE WHEN b{b} * 2 > n THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))}, 0::UBIGINT) AS fp FROM w LEFT JOIN bits USING (doc_id)),
+one AS (SELECT fp, min(doc_id) AS low FROM fp GROUP BY 1),
+link AS (SELECT a.fp AS a, b.fp AS b FROM one a JOIN one b ON a.fp <> b.fp WHERE bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+reach AS (SELECT fp AS a, fp AS b FROM one UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a AS fp, min(one.low) AS component_id FROM reach JOIN one ON one.fp = reach.b GROUP BY 1)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id, doc_id = component_id AS kept FROM fp JOIN low USING (fp)
+"""

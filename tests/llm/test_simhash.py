@@ -127,3 +127,19 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000)], "a long, b long")
     got = {r[0]: r[1] for r in components(chain, Scratch(spark, "t")).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[2000] == 1000
+
+
+def test_query_against_sql(spark, tmp_path):
+    """Words of all lengths, so that all ways through the hash are taken; copies and near copies."""
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdEFG1é€😀"), rng.integers(1, 30)))
+    texts = [" \n".join(word() for _ in range(rng.integers(1, 60))) for _ in range(60)] + ["", None, " \t ", "one", "one two three", "ONE two three"]
+    texts += texts[:10] + [t + " more" for t in texts[10:30]] + ["A " * 50, "a " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(simhash.OP5_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    got = simhash.op5_simhash_dedup(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns].to_numpy() == want.to_numpy()).all() and (~got.kept).sum() > 10
