@@ -104,12 +104,12 @@ def _chars(x: str) -> str:
     return "(" + " || ".join(f"chr({ord(c)})" for c in x) + ")"
 
 
-def sized(size: int = 600, overlap: int = 100) -> str:
+def sized(size: int = 600, overlap: int = 100, rows: str = "documents") -> str:
     """Chunks by size of all documents, a paragraph or a cut at a step: (doc_id, chunk_idx, chunk)."""
     gap = "chr(10) || chr(10)"
     carry = lambda done, glue, rest: f"CASE WHEN length({done}) > {overlap} THEN right({done}, {overlap}) || {glue} || {rest} ELSE {rest} END"
     return rf"""
-src AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({strip('text')}, '\n{{2,}}'), lambda y: {strip('y')}), lambda z: z <> '') AS paras FROM documents WHERE text <> ''),
+src AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({strip('text')}, '\n{{2,}}'), lambda y: {strip('y')}), lambda z: z <> '') AS paras FROM {rows} WHERE text <> ''),
 ck AS (SELECT doc_id, paras, 1::BIGINT AS i, '' AS o, NULL::VARCHAR AS got, 0::BIGINT AS step, false AS done FROM src
   UNION ALL SELECT doc_id, paras, CASE WHEN long_ THEN i ELSE i + 1 END,
     CASE WHEN long_ THEN {carry('head', "' '", 'rest')} WHEN p IS NULL THEN '' WHEN o = '' THEN p WHEN length(o) + length(p) + 2 <= {size} THEN o || {gap} || p ELSE {carry('o', gap, 'p')} END,
@@ -269,6 +269,35 @@ def profile(x: str) -> dict[str, str]:
     }
 
 
+def _plain(x: str) -> str:
+    """A piece of text between tags, stripped, its references decoded (the tables' pages have these)."""
+    for code, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, {_text(code)}, {_text(char)})"
+    return strip(x)
+
+
+#: Texts of the articles' headings and paragraphs, from pieces between tags: an element ends where as many ends as beginnings of its kind have come, or with the article. All pages of the tables have one, no dates and no other content elements.
+ARTICLES = rf"""
+art AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS a FROM pages),
+tg AS (SELECT page_id, unnest(tags) AS tag, unnest(range(1, len(tags) + 1)) AS i FROM (SELECT page_id, list_transform(regexp_extract_all(a, '<(/?[a-zA-Z0-9]+)[^>]*>', 1), lambda y: lower(y)) AS tags FROM art)),
+pc AS (SELECT page_id, i, {_plain('x')} AS x FROM (SELECT page_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, string_split_regex(a, '<[^>]*>') AS p FROM art))),
+kd AS (SELECT page_id, i, ltrim(tag, '/') AS kind, tag LIKE '/%' AS ends, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, ltrim(tag, '/') ORDER BY i) AS bal FROM tg WHERE ltrim(tag, '/') IN ({", ".join(map(_text, w.CONTENT_TAGS))})),
+el AS (SELECT o.page_id, o.i, coalesce(min(e.i), 1000000000) AS till FROM kd o LEFT JOIN kd e ON e.page_id = o.page_id AND e.kind = o.kind AND e.ends AND e.i > o.i AND e.bal = o.bal - 1 WHERE NOT o.ends GROUP BY 1, 2),
+et AS (SELECT el.page_id, el.i, string_agg(pc.x, ' ' ORDER BY pc.i) AS x FROM el JOIN pc ON pc.page_id = el.page_id AND pc.i > el.i AND pc.i <= el.till WHERE pc.x <> '' GROUP BY 1, 2),
+pt AS (SELECT art.page_id, url, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (length(x) > 20), '') AS text, any_value({_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM art LEFT JOIN et USING (page_id) GROUP BY 1, 2),
+fetched_pages AS (SELECT url, substr(text, 1, 12000) AS text FROM pt WHERE length(text) > 50 AND {content('text')})"""
+#: Chunks of the results' pages, in the place of documents as chunks: snippets stand for missing pages, a row a good chunk.
+PAGE_CHUNKS = rf"""{HITS}, {merged('(' + language('title') + ") IN ('en', 'other')")},{ARTICLES},
+ev AS (SELECT row_number() OVER () AS doc_id, m.*, f.text AS page_text FROM (SELECT * FROM merged WHERE source_idx < 10) m LEFT JOIN fetched_pages f USING (url)),
+rd AS (SELECT doc_id, page_text AS text FROM ev WHERE page_text IS NOT NULL),{sized(rows="rd")},
+gc AS (SELECT doc_id, chunk_idx AS place, {garbage('chunk')} AS text FROM sized),
+gd AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_idx, text FROM gc WHERE length(text) >= 50 AND NOT {incomplete('text')} AND NOT {low_quality('text')}),
+ac AS (SELECT * FROM gd UNION ALL SELECT doc_id, 0, snippet FROM ev WHERE page_text IS NULL AND snippet <> ''),
+named AS (SELECT row_number() OVER () AS doc_id, query_id, query, source_idx::INT AS source_idx, chunk_idx, ac.text, NULL::TIMESTAMP AS pub_date, as_of, url AS source_url, title AS source_title,
+  page_text IS NOT NULL OR max((page_text IS NOT NULL)::INT) OVER (PARTITION BY query_id) = 0 AS fetched FROM ac JOIN ev USING (doc_id) JOIN asked USING (query_id)),
+chunks AS (SELECT doc_id, query_id, query, source_idx, chunk_idx, text, pub_date, as_of FROM named)"""
+
+
 _P = profile("a.query")
 PROMPT = f"""
 sig AS (SELECT query_id, count(*) AS chunks, count(DISTINCT {netloc('source_url')}) AS domains, count(*) FILTER ({facts('text')}) AS facts, count(pub_date) AS dated FROM isl GROUP BY 1)
@@ -295,6 +324,10 @@ ORACLES = {
     "redirect_unwrap": "SELECT page_id, url AS a, url AS r, url AS b, url AS plain FROM pages",
     "publish_date": f"SELECT event_id, CASE WHEN hour(ts) % 9 < 6 THEN strftime({_PUBLISHED}, '%Y-%m-%d %H:%M:%S') END AS published FROM events",
     "result_hits": f"WITH {HITS}, f AS (SELECT query_id, length(t1) > length(t2) AS bare FROM (SELECT query_id, {_FIRST} FROM hits WHERE engine = 'a' GROUP BY 1)), r AS (SELECT query_id, engine, row_number() OVER (PARTITION BY query_id, engine ORDER BY rank) AS rank, trim(title) AS title, url, CASE WHEN engine = 'a' AND coalesce(bare, false) THEN '' WHEN engine = 'a' AND rank % 4 = 3 THEN substr(trim(snippet), 1, 300) ELSE trim(snippet) END AS snippet FROM hits JOIN f USING (query_id)) SELECT query_id, engine, rank::INT AS rank, title, url, snippet FROM r WHERE rank <= 15",
+    "html_extract": f"WITH {ARTICLES} SELECT page_id, text, title, NULL::TIMESTAMP AS pub_date FROM pt",
+    "page_fetch": f"WITH {ARTICLES} SELECT url, text, NULL::TIMESTAMP AS pub_date FROM fetched_pages",
+    "search_and_read": f"WITH RECURSIVE {ASKED}, {ISLANDS.replace(CHUNKS, PAGE_CHUNKS)}, {context_of('isl')} SELECT q.query_id, coalesce(context, {_text(context.NO_SOURCES)}) AS context, coalesce(source_list, '') AS source_list FROM (SELECT DISTINCT query_id FROM isl) q LEFT JOIN cx USING (query_id)",
+    "ask": f"WITH RECURSIVE {ASKED}, {ISLANDS.replace(CHUNKS, PAGE_CHUNKS)}, {context_of('isl')}, {WARNED}, {PROMPT}",
     "chunk_text": f"WITH RECURSIVE {sized()} SELECT * FROM sized",
     "chunk_filter": f"WITH RECURSIVE {sized()}, cl AS (SELECT doc_id, chunk_idx AS i, {garbage('chunk')} AS text FROM sized) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_idx, text FROM cl WHERE length(text) >= 50 AND NOT {incomplete('text')} AND NOT {low_quality('text')}",
     "semantic_chunks": f"WITH RECURSIVE {MEANT} SELECT * FROM meant",
