@@ -19,12 +19,14 @@ empty result; other columns are kept by ``clean`` and ignored by ``leaks``.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import SPACE, Scratch
+from siftline.sources.tables import table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -56,16 +58,17 @@ def _fingerprint(rows: DataFrame, *by: str) -> DataFrame:
     """A row a group: fp, whose bits are set if over half of the ``h`` have them; a sum counts two bits, in its halves."""
     two = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"b{b}") for b in range(32)]
     out = rows.groupBy(*by).agg(*two, F.count("*").alias("_n"))
-    set_ = lambda n, b: F.when(n * 2 > F.col("_n"), F.lit(1 << b)).otherwise(F.lit(0).cast("long"))
-    low, high = ([set_(half(F.col(f"b{b}")), b) for b in range(32)] for half in (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)), lambda c: F.shiftrightunsigned(c, 32)))
-    return out.select(*by, F.shiftleft(sum(high[1:], high[0]), 32).bitwiseOR(sum(low[1:], low[0])).alias("fp"))
+    half = lambda b, high: F.shiftrightunsigned(f"b{b}", 32) if high else F.col(f"b{b}").bitwiseAND(F.lit((1 << 32) - 1))
+    bit = lambda b, high: F.when(half(b, high) * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), b + 32 * high)).otherwise(F.lit(0).cast("long"))
+    fp = reduce(Column.bitwiseOR, [bit(b, high) for high in (False, True) for b in range(32)])
+    return out.select(*by, fp.alias("fp"))
 
 
 def _blocks_of(column: str, flips: int) -> Column:
     """Each block's number and bits, as they are and with up to ``flips`` of them flipped."""
-    masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(8), n)]
-    own = [F.shiftrightunsigned(column, 8 * i).bitwiseAND(F.lit(255)).cast("int") for i in range(BLOCKS)]
-    return F.array(*(F.lit(i << 8) + own[i].bitwiseXOR(F.lit(m)) for i in range(BLOCKS) for m in masks))
+    masks = F.array(*(F.lit(sum(1 << b for b in bits)) for n in range(flips + 1) for bits in combinations(range(8), n)))
+    own = F.array(*(F.shiftrightunsigned(column, 8 * i).bitwiseAND(F.lit(255)).cast("int").bitwiseOR(F.lit(i << 8)) for i in range(BLOCKS)))
+    return F.flatten(F.transform(own, lambda x: F.transform(masks, lambda m: x.bitwiseXOR(m)))) if flips else own
 
 
 def _maybe(rows: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    out = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = leaks(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     out = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("x"))
     return out.select("doc_id", "item_id", (-F.col("x.s")).alias("start"), F.col("x.similarity").alias("similarity"))
 
