@@ -78,12 +78,12 @@ class Block(NamedTuple):
     doubt: str
 
 
-def named(names: str) -> str:
-    """What an element's class, id and role say: "comments", "name", "weak" or nothing."""
+def named(names: str, article: bool = False) -> str:
+    """What an element's class, id and role say: "comments", "name", "weak" or nothing. An article's own header says nothing, as its tag does not."""
     out = ""
     for token in names.lower().split():
         words = [w for w in re.split(r"[-_]+", token) if w]
-        hits = [w for w in words if w in NOT_MAIN]
+        hits = [w for w in words if w in NOT_MAIN and not (article and w == "header")]
         if not hits:
             continue
         if all(w in NOT_MAIN or w in BESIDE or w.isdigit() for w in words):
@@ -170,7 +170,7 @@ def blocks(page: str) -> Iterator[Block]:
         if hidden or (tag in DROPPED and not (tag == "header" and article)):
             doubt = "tag"
         elif names and not main and tag not in ("html", "body"):
-            doubt = _worse(doubt, named(names))
+            doubt = _worse(doubt, named(names, article))
         stack.append((tag, doubt, article or main, link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
     if at < len(page):
         parts.append(entities.unescape(page[at:]))

@@ -69,6 +69,11 @@ def test_article_keeps_linked_paragraphs():
     assert html_text.main_text(f"<article><p><a href=x>Alice Smith</a>, <a href=y>Bob</a></p><p>{GOOD}</p><p>Yes</p></article>") == f"Alice Smith, Bob\n{GOOD}\nYes"
 
 
+def test_header_of_an_article_belongs_to_it():
+    page = f'<div class="site-header">The Daily Town and all of its news</div><article><header><p>On a day of the week</p></header><div class="post-header"><h1>Title</h1></div><p>{GOOD}</p></article>'
+    assert html_text.main_text(page) == f"On a day of the week\nTitle\n{GOOD}"
+
+
 def test_unbalanced_quotes_take_no_text():
     page = f'<p class="x>{GOOD}</p><p class="y">{GOOD}</p><a href="z>and more</a><p id=\'q>{GOOD}</p>'
     got = html_text.main_text(page)
