@@ -102,8 +102,11 @@ def _surprise(meetings: Column, share: Column, own: Column) -> Column:
     return meetings / share * (share * F.log2(share / own) + rest)
 
 
-def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(term) of the corpus that disclose some entity. base: (row, entity) of all spans' contexts' documents, a row a document."""
+def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """(term) of the corpus that disclose some entity, and (doc_id, k, term) of all documents that hold them; None if none does.
+
+    base: (row, entity) of all spans' contexts' documents, a row a document.
+    """
     pairs = scratch.table(contexts.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("together")))
     total, tested = docs.count(), pairs.count()
     least = BITS + math.log2(max(tested, 1))
@@ -116,19 +119,22 @@ def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, scratch: S
     pairs = scratch.table(pairs.join(beside, "term").where((share >= SHARE) & (_surprise(F.col("meetings"), share, F.col("own")) >= least)))
     terms = scratch.table(pairs.select("term").distinct())
     if terms.isEmpty():
-        return terms
-    held = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
-    often = held.join(_maybe(terms), "term").groupBy("term").agg(F.count("*").alias("held"))
+        return None
+    # the documents that hold what may be a term, in one pass over all texts
+    held = _key(docs.select("doc_id", "text")).select("doc_id", "k", F.explode(F.array_distinct(_words(F.col("t")))).alias("term"))
+    held = scratch.table(held.join(_maybe(terms), "term").select("doc_id", "k", "term"))
+    often = held.groupBy("term").agg(F.count("*").alias("held"))
     share = F.col("together") / F.col("held")
     bits = F.log2(share) - F.log2("own")
-    return scratch.table(pairs.join(often, "term").where((share >= SHARE) & (bits >= BITS) & (_surprise(F.col("meetings"), share, F.col("own")) >= least)).select("term").distinct())
+    chosen = scratch.table(pairs.join(often, "term").where((share >= SHARE) & (bits >= BITS) & (_surprise(F.col("meetings"), share, F.col("own")) >= least)).select("term").distinct())
+    return None if chosen.isEmpty() else (chosen, held.join(_maybe(chosen), "term"))
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, k, terms): spans of the terms in all documents that hold some."""
+def term_spans(docs: DataFrame, terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, k, terms): spans of the terms in all documents that hold some, which ``held`` (doc_id, k) names."""
     chosen = _maybe(terms)
     rows = _key(docs.select("doc_id", "text"))
-    holds = rows.select("doc_id", "k", F.explode(F.array_distinct(_words(F.col("t")))).alias("term")).join(chosen, "term").select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct()
+    holds = held.select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct()
     texts = rows.join(_maybe(holds), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j")), "left_semi").dropDuplicates(["doc_id", "k"])
     words = texts.select("doc_id", "k", F.explode(occurrences(F.col("t"), rf"\p{{L}}{{{LEAST},}}+", "term")).alias("x"))
     found = words.withColumn("term", F.lower("x.v")).join(chosen, "term")
@@ -141,8 +147,8 @@ def find(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, Da
     rows = scratch.table(_key(docs.select("doc_id", "text")).select("doc_id", "k", base_spans(F.col("t")).alias("base"), "t").withColumn("t", F.when(F.size("base") > 0, F.col("t"))).withColumn("row", F.monotonically_increasing_id()))
     contexts = scratch.table(_contexts(rows.where(F.size("base") > 0)))
     base = contexts.select("row", "entity").distinct()
-    terms = disclosing(docs, base, contexts, scratch)
-    spans = None if terms.isEmpty() else scratch.table(term_spans(docs, terms))
+    found = disclosing(docs, base, contexts, scratch)
+    spans = None if found is None else scratch.table(term_spans(docs, *found))
     return rows.select("doc_id", "k", "base"), spans
 
 
