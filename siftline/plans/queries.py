@@ -186,13 +186,10 @@ def hybrid_score(s, d):
     return _scored(s, d).select("doc_id", "relevance", "bm25", F.col("pos").cast("long").alias("pos"))
 
 
-def _query_vector(s, d):
-    return table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row: the query
-
-
 def _similar(s, d):
-    rows = table(s, d, "embeddings").join(F.broadcast(_query_vector(s, d)))
-    return rows.select("vec_id", merge.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    """Cosine of all vectors with the query's, which is vector 0: a scalar, an error if there are several."""
+    asked = table(s, d, "embeddings").where("vec_id = 0").select("embedding").scalar()
+    return table(s, d, "embeddings").select("vec_id", "embedding", asked.alias("q")).select("vec_id", merge.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
 
 
 def semantic_prefilter(s, d):
