@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from siftline.llm.decontamination import OP8_SQL, op8_decontamination
 from siftline.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
-from siftline.llm.html_text import op6_html_extraction
+from siftline.llm.html_text import OP6_SQL, op6_html_extraction
 from siftline.llm.language import op3_language_id
 from siftline.llm.mixing import OP2_SQL, op2_source_mixing
 from siftline.llm.pii import OP9_SQL, op9_pii
@@ -28,4 +28,4 @@ QUERIES = {
         op10_quality,
     )
 }
-ORACLES = {"op1_embedding_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_simhash_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_pii": OP9_SQL}
+ORACLES = {"op1_embedding_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op5_simhash_dedup": OP5_SQL, "op6_html_extraction": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_pii": OP9_SQL}
