@@ -75,7 +75,7 @@ def _same(*names: str) -> Column:
 def _sized(docs: DataFrame, *keep: str) -> DataFrame:
     """Size, source and place in the shuffled order, called _size, _source, _h, and the columns in ``keep``."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    hashed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
+    hashed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")), F.lit(":mix")))  # rows without an id are dealt by their text
     return docs.select(*keep, F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), size.alias("_size"), hashed.alias("_h"))
 
 
@@ -163,7 +163,7 @@ def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h
+         md5(coalesce(doc_id::VARCHAR, text, '') || ':mix') AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS w,
