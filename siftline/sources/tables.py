@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,21 +16,12 @@ from siftline.functions import text as t
 from siftline.functions.dates import published
 from siftline.functions.dom import with_text
 from siftline.operators import merge
+from siftline.sources.reading import spread, table  # noqa: F401
 
 HITS = "query_id long, engine string, rank int, title string, url string, snippet string"
 PAGES = "url string, html string, error string"
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A scan's rows over all cores, where its files have fewer pieces than there are cores: work on each row then takes all of them. Larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
-
-
 def fetched(
     urls: DataFrame, get: Callable[[str, float], tuple[int, str]], hosts: int = 200, retries: int = 2, timeout: float = 15, pause: tuple[float, float] = (0.5, 1.5)
 ) -> DataFrame:
