@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import SPACE, Scratch
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 SHINGLE = 5
 SIMILARITY = 0.8

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch, components, forest, runs
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 COSINE = 0.95
 TREES = 6

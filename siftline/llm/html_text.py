@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 LONG, SHORT = 200, 70
 DENSE, SOME = 0.30, 0.20

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import least_hashed
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 DOCS, WINDOW = 400, 600
 HIDDEN, PIECE = 16, 24

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import WORD, Scratch
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3

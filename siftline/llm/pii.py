@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch
 from siftline.llm.spans import occurrences, replaced
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SHARE, BITS = 8, 0.5, 4.0

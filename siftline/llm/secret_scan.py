@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.spans import occurrences
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 TREES, DEPTH, LEAST, SEED = 25, 8, 4, 11
 FINDINGS = 4000

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Scratch, scratch_dir
-from siftline.sources.tables import table
+from siftline.sources.reading import table
 
 TOKENIZERS = "/opt/tokenizers"
 VERSION, OTHER = "byte_bpe_50k", "byte_bpe_multi_50k"
