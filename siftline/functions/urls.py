@@ -28,13 +28,14 @@ def domain(c: Column) -> Column:
 
 
 def unwrapped_a(href: Column) -> Column:
-    """Target of a click-through link of engine A: parameter u, base64 after ``a1``, else r, else the link itself."""
-    raw = F.regexp_replace(F.try_url_decode(F.try_parse_url(href, F.lit("QUERY"), F.lit("u"))), "^a1", "")
+    """Target of a click-through link of engine A: parameter u, base64 after ``a1``, else r, else the link itself. Tabs and line breaks in a link count for nothing."""
+    flat = F.translate(href, "\t\r\n", "")
+    raw = F.regexp_replace(F.try_url_decode(F.try_parse_url(flat, F.lit("QUERY"), F.lit("u"))), "^a1", "")
     code = F.translate(raw, "-_", "+/")
     padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), "=")
     target = F.try_to_binary(padded, F.lit("base64"))
     text = F.when(F.is_valid_utf8(target.cast("string")), target.cast("string"))
-    other = F.try_url_decode(F.try_parse_url(href, F.lit("QUERY"), F.lit("r")))
+    other = F.try_url_decode(F.try_parse_url(flat, F.lit("QUERY"), F.lit("r")))
     link = F.when(text.startswith("http"), text).when(other.startswith("http"), other).otherwise(href)
     return F.when(F.contains(href, F.lit("bing.com/ck/a")), link).otherwise(href)
 

@@ -1,3 +1,4 @@
+import base64
 import itertools
 import re
 
@@ -69,6 +70,15 @@ def test_redirects(spark):
     assert column(spark, urls.unwrapped_b, links) == ["https://e.org/a+b c", links[1]]
 
 
+def test_redirects_of_broken_lines(spark):
+    """Tabs and line breaks in a link count for nothing, as in base64 of more than 76 characters."""
+    url = "https://www.example.com/de/8708?utm_source=feed&of=more+than+a+line"
+    code = base64.encodebytes(url.encode()).decode().replace("\n", "\r\n").rstrip("\r\n=")
+    assert "\r\n" in code
+    links = [f"https://www.bing.com/ck/a?!&&p=1&u=a1{code}&ntb=1", "https://www.bing.com/ck/a?u=a1zz\n&r=https%3A%2F%2Fe.o\trg", "https://e.org/a\nb"]
+    assert column(spark, urls.unwrapped_a, links) == [url, "https://e.org", links[2]]
+
+
 def test_dates(spark):
     raw = ["2024-01-05T10:20:30+03:00", "2024-01-05T10:20:30Z", "2024-01-05", "2024-01-05T10:20:30-05:00", "Fri, 05 Jan 2024 GMT", "2024", "2024-02-30", None]
     got = [None if x is None else str(x) for x in column(spark, dates.published, raw)]
