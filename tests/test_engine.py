@@ -146,6 +146,14 @@ def test_news_hits_of_engine_b(spark):
     assert {(r["query_id"], r["title"]) for r in got} == {(1, "plain one"), (2, "news two"), (2, "list")}
 
 
+def test_result_links_of_broken_lines(spark):
+    """A link that the engine's page holds with a line break in it is unwrapped, and is one hit with the same link in one line."""
+    code = "aHR0cHM6Ly9leGFtcGxlLmNvbS9h"
+    items = "".join(f'<li class="b_algo"><h2><a href="https://www.bing.com/ck/a?p=1&amp;u=a1{x}&amp;ntb=1">T</a></h2></li>' for x in (code[:8] + "\r\n" + code[8:], code))
+    pages = spark.createDataFrame([(1, "a", f"<ol>{items}</ol>")], "query_id long, engine string, html string")
+    assert [(r["rank"], r["url"]) for r in result_hits(pages).collect()] == [(1, "https://example.com/a")]
+
+
 def test_result_pages(spark):
     """Engines are asked at their addresses, their pages' hits are read, and a failed request has none."""
     a = """<ol><li class="b_algo"><h2><a href="https://x.org/1"> One <b>bold</b> </a></h2><div class="b_caption"><p>said <i>so</i></p></div></li><li class="b_algo"><div><a href="https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9leGFtcGxlLmNvbS9h">Two</a></div></li>
