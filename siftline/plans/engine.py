@@ -57,7 +57,7 @@ class Engine:
         keep = None
         if "html" in pages.columns:
             wanted = pages.join(found.select("url").distinct(), "url", "left_semi")
-            pages, keep = page_texts(wanted, None, False, self.extract), self._is_content
+            pages, keep = page_texts(wanted, gate=False, extract=self.extract), self._is_content
         rows = merge.with_pages(found, pages, c.top_n_fetch, keep).withColumnsRenamed({"url": "source_url", "title": "source_title"}).drop("score", "engines", "snippet")
         return quality.chunked(rows, c.chunk_size, c.chunk_overlap, c.max_content_chars, self.scorer.embed, "lang")
 

@@ -325,7 +325,7 @@ ORACLES = {
     "publish_date": f"SELECT event_id, CASE WHEN hour(ts) % 9 < 6 THEN strftime({_PUBLISHED}, '%Y-%m-%d %H:%M:%S') END AS published FROM events",
     "result_hits": f"WITH {HITS}, f AS (SELECT query_id, length(t1) > length(t2) AS bare FROM (SELECT query_id, {_FIRST} FROM hits WHERE engine = 'a' GROUP BY 1)), r AS (SELECT query_id, engine, row_number() OVER (PARTITION BY query_id, engine ORDER BY rank) AS rank, trim(title) AS title, url, CASE WHEN engine = 'a' AND coalesce(bare, false) THEN '' WHEN engine = 'a' AND rank % 4 = 3 THEN substr(trim(snippet), 1, 300) ELSE trim(snippet) END AS snippet FROM hits JOIN f USING (query_id)) SELECT query_id, engine, rank::INT AS rank, title, url, snippet FROM r WHERE rank <= 15",
     "html_extract": f"WITH {ARTICLES} SELECT page_id, text, title, NULL::TIMESTAMP AS pub_date FROM pt",
-    "page_fetch": f"WITH {ARTICLES} SELECT url, text, NULL::TIMESTAMP AS pub_date FROM fetched_pages",
+    "page_fetch": f"WITH {ARTICLES} SELECT url, text, NULL::TIMESTAMP AS pub_date FROM pt WHERE length(text) > 50 AND {content('text')}",
     "search_and_read": f"WITH RECURSIVE {ASKED}, {ISLANDS.replace(CHUNKS, PAGE_CHUNKS)}, {context_of('isl')} SELECT q.query_id, coalesce(context, {_text(context.NO_SOURCES)}) AS context, coalesce(source_list, '') AS source_list FROM (SELECT DISTINCT query_id FROM isl) q LEFT JOIN cx USING (query_id)",
     "ask": f"WITH RECURSIVE {ASKED}, {ISLANDS.replace(CHUNKS, PAGE_CHUNKS)}, {context_of('isl')}, {WARNED}, {PROMPT}",
     "chunk_text": f"WITH RECURSIVE {sized()} SELECT * FROM sized",

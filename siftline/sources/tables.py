@@ -69,12 +69,10 @@ def result_hits(pages: DataFrame, num: int = 15) -> DataFrame:
     return a.select(*columns).unionByName(b.select(*columns)).where(F.col("rank") <= num)
 
 
-def page_texts(pages: DataFrame, limit: int | None = 12000, gate: bool = True, extract: Callable[[str], str | None] | None = None) -> DataFrame:
-    """(url, text, pub_date) of pages (url, html) whose text is content; cut to ``limit``, if there is one, after that."""
+def page_texts(pages: DataFrame, *, gate: bool = True, extract: Callable[[str], str | None] | None = None) -> DataFrame:
+    """(url, text, pub_date) of pages (url, html) whose text is content; whole texts."""
     rows = with_text(pages.where(F.col("html").isNotNull()).select("url", "html"), extract=extract).select("url", "page.text", published(F.col("page.date")).alias("pub_date"))
-    if gate:
-        rows = rows.where((F.length("text") > 50) & t.is_content("text"))
-    return rows if limit is None else rows.withColumn("text", F.col("text").substr(1, limit))
+    return rows.where((F.length("text") > 50) & t.is_content("text")) if gate else rows
 
 
 def prompt_name(query: Column, stamp: Column) -> Column:

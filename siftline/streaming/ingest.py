@@ -16,7 +16,7 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 def chunk_stream(pages: DataFrame, limit: int = 12000) -> DataFrame:
     """(url, pub_date, chunk_idx, text); stateless, so that no watermark is needed."""
-    return chunked(page_texts(pages, limit), limit=limit).select("url", "pub_date", "chunk_idx", "text")
+    return chunked(page_texts(pages), limit=limit).select("url", "pub_date", "chunk_idx", "text")
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,10 @@
 import re
 from html import unescape
 
+import duckdb
+
 from siftline.functions import words as w
+from siftline.plans.oracles import ORACLES
 from siftline.plans.queries import QUERIES
 
 PATH = "/root/testdata/sf0.001"
@@ -73,3 +76,14 @@ def test_extraction_and_gate_against_plain(spark, tmp_path):
     fetched = {r["url"]: r["text"] for r in QUERIES["page_fetch"](spark, str(tmp_path)).collect()}
     want = {r["url"]: plain(r["html"])[0] for r in rows.values() if r["html"] is not None}
     assert fetched == {u: t[:12000] for u, t in want.items() if len(t) > 50 and is_content(t)} and len(fetched) > 10
+
+
+def test_fetched_pages_are_whole(spark):
+    """No text is cut: neither by the query nor by its SQL."""
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{PATH}/pages.parquet'")
+    html = dict(con.execute("select url, html from pages").fetchall())
+    want = {u: t for u, h in html.items() if len(t := plain(h)[0]) > 50 and is_content(t)}
+    assert max(map(len, want.values())) > 12000
+    assert {r["url"]: r["text"] for r in QUERIES["page_fetch"](spark, PATH).collect()} == want
+    assert {u: t for u, t, _ in con.execute(ORACLES["page_fetch"]).fetchall()} == want
