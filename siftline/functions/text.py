@@ -28,16 +28,27 @@ def has(c: Column | str, words: list[str]) -> Column:
     return F.lower(_of(c)).rlike(w.any_of(words))
 
 
+def _ascii(c: Column | str) -> Column:
+    """Whether a text has a byte a character, told without a look at its letters."""
+    return F.octet_length(_of(c)) == F.length(_of(c))
+
+
 def language(c: Column | str) -> Column:
     """zh, ru, en or other, by shares of Chinese, Cyrillic and ASCII letters among these."""
-    count = lambda keep: F.length(F.regexp_replace(_of(c), f"[^{keep}]", "")).cast("double")
-    zh, ru, en = count("一-鿿"), count("Ѐ-ӿ"), count("a-zA-Z")
-    total = zh + ru + en
-    return F.when(F.coalesce(total, F.lit(0)) == 0, "other").when(zh / total > 0.3, "zh").when(ru / total > 0.1, "ru").when(en / total > 0.5, "en").otherwise("other")
+    # whole runs of other characters fall at once, and each letter is counted once
+    count = lambda keep: F.length(F.regexp_replace(_of(c), f"[^{keep}]+", "")).cast("double")
+
+    def told(n: Column) -> Column:
+        zh, ru, en = n["zh"], n["ru"], n["en"]
+        total = zh + ru + en
+        return F.when(F.coalesce(total, F.lit(0)) == 0, "other").when(zh / total > 0.3, "zh").when(ru / total > 0.1, "ru").when(en / total > 0.5, "en").otherwise("other")
+
+    other = lambda keep: F.when(_ascii(c), F.lit(0.0)).otherwise(count(keep))
+    return let(F.struct(other("一-鿿").alias("zh"), other("Ѐ-ӿ").alias("ru"), count("a-zA-Z").alias("en")), told)
 
 
 def query_language(c: Column | str) -> Column:
-    return F.when(_of(c).rlike("[Ѐ-ӿ]"), "ru").otherwise("en")
+    return F.when(~_ascii(c) & _of(c).rlike("[Ѐ-ӿ]"), "ru").otherwise("en")
 
 
 def tokens(c: Column | str) -> Column:

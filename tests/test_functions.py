@@ -24,6 +24,14 @@ def test_language(spark):
     assert column(spark, t.query_language, ["новости ИИ", "latest AI news"]) == ["ru", "en"]
 
 
+def test_language_counts_each_kind_of_letter_once(spark):
+    """A text is gone through once a kind of letter, by runs: the work is in proportion to its length and not many times that."""
+    rows = spark.createDataFrame([("ab " * 1000 + "я" * 300,)], "x string").select(t.language("x").alias("y"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3 and plan.count("]+,") == 3
+    assert rows.first()["y"] == "ru"
+
+
 def test_tokens(spark):
     assert column(spark, t.tokens, ["The Cat's étion, и для мышь 42 2024", None]) == [["cat", "tion", "мышь", "2024"], []]
 
