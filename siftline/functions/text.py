@@ -19,8 +19,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: All characters that (?U)\s is.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_of(c), r"(?U)^\s+|\s+$", "")
+    """Without white space at either end; the rest is not looked at, as a pattern would."""
+    return F.trim(_of(c), F.lit(SPACE))
 
 
 def has(c: Column | str, words: list[str]) -> Column:
@@ -133,13 +138,13 @@ def is_incomplete(c: Column | str) -> Column:
 
 def most_frequent(words: Column) -> Column:
     """How often the most frequent element of an array of strings stands there."""
-    start = F.struct(F.lit("").alias("was"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    start = F.struct(F.lit("").alias("was"), F.lit(0).alias("run"), F.lit(0).alias("most"))  # sort_array needs no comparison function as array_sort does
 
     def step(acc: Column, x: Column) -> Column:
         run = F.when(x == acc["was"], acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("was"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    return F.aggregate(F.array_sort(words), start, step, lambda acc: acc["most"])
+    return F.aggregate(F.sort_array(words), start, step, lambda acc: acc["most"])
 
 
 def is_low_quality(c: Column | str) -> Column:
@@ -147,8 +152,14 @@ def is_low_quality(c: Column | str) -> Column:
 
     def worded(words: Column) -> Column:
         n = F.size(words).cast("double")
-        often = most_frequent(F.filter(F.transform(words, F.lower), lambda x: F.length(x) > 3))
-        return (n == 0) | (n < 0.08 * F.length(_of(c))) | (F.size(F.filter(words, lambda x: F.length(x) > 4)) < 0.2 * n) | (often > n * 0.3)
+
+        def often(own: Column) -> Column:
+            # none stands more often than words stand more than once, and one
+            most = F.size(own) - F.size(F.array_distinct(own)) + 1
+            return (most > n * 0.3) & (most_frequent(own) > n * 0.3)
+
+        long_ = F.filter(F.transform(words, F.lower), lambda x: F.length(x) > 3)
+        return (n == 0) | (n < 0.08 * F.length(_of(c))) | (F.size(F.filter(words, lambda x: F.length(x) > 4)) < 0.2 * n) | let(long_, often)
 
     def phrased(low: Column) -> Column:
         found = [F.contains(low, F.lit(p)).cast("int") for p in w.BOILERPLATE]
