@@ -53,17 +53,25 @@ def bm25(chunks: DataFrame) -> DataFrame:
 def tfidf(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, ``key``, similarity): cosine of each chunk's sparse TF-IDF vector with its query's; 0 if either has no token.
 
-    A chunk's tokens are counted before they are shuffled; the other side of each join has one row a token and query.
+    Tokens are read once and dealt by query; counts, document frequencies (a window over a query's token) and sums then find their rows in place.
     """
-
-    def weighted(rows: DataFrame, tokens: Column, *by: str) -> DataFrame:
-        one = rows.select(*by, tokens.alias("_t")).select(*by, F.size("_t").alias("_size"), F.explode("_t").alias("token"))
-        counts = one.groupBy(*by, "_size", "token").agg(F.count("*").alias("_n")).join(idf(chunks), ["query_id", "token"])
-        return counts.select(*by, "token", (F.col("_n") / F.col("_size") * F.col("idf")).alias("w"))
-
-    asked = weighted(chunks.select("query_id", "query").distinct(), t.tokens("query"), "query_id")
-    length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("asked_length"))
-    rows = weighted(chunks, t.tokens("text"), "query_id", key).join(asked.withColumnRenamed("w", "v"), ["query_id", "token"], "left")
-    rows = rows.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    rows = chunks.select("query_id", key).join(rows, ["query_id", key], "left").join(length, "query_id", "left")
+    own = chunks.select("query_id", F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.lit(False).alias("_asked"), t.tokens("text").alias("_t"))
+    asked = chunks.select("query_id", "query").distinct()
+    asked = asked.select("query_id", F.lit(None).cast(chunks.schema[key].dataType).alias("_key"), F.lit(None).cast("long").alias("_row"), F.lit(True).alias("_asked"), t.tokens("query").alias("_t"))
+    n = chunks.groupBy("query_id").agg((F.count("*") + 1).alias("_all"))
+    rows = own.unionByName(asked).join(n, "query_id", "left").repartition("query_id")
+    # an outer explode, as Spark finds out whether the array of a plain one is empty before that, which reads the tokens twice
+    rows = rows.select("query_id", "_key", "_row", "_asked", "_all", F.size("_t").alias("_size"), F.explode_outer("_t").alias("token")).where("token is not null")
+    rows = rows.groupBy("query_id", "token", "_asked", "_key", "_row", "_all", "_size").agg(F.count("*").alias("_n"))
+    by = W.partitionBy("query_id", "token")
+    share = F.col("_n") / F.col("_size")
+    rows = rows.withColumn("_idf", F.log((F.col("_all") + 1) / (F.count("*").over(by) + 1)) + 1).withColumn("_wanted", F.max(F.when(F.col("_asked"), share)).over(by))
+    # rows of one key and size count as one
+    rows = rows.groupBy("query_id", "token", "_asked", "_key", "_size").agg(F.sum("_n").alias("_n"), F.max("_idf").alias("_idf"), F.max("_wanted").alias("_wanted"))
+    w = share * F.col("_idf")
+    sums = rows.groupBy("query_id", "_asked", "_key").agg(F.sum(w * F.col("_wanted") * F.col("_idf")).alias("dot"), F.sqrt(F.sum(w * w)).alias("length"))
+    # the query's length comes by a window: a join with a part of the sums would make them twice
+    sums = sums.withColumn("asked_length", F.max(F.when(F.col("_asked"), F.col("length"))).over(W.partitionBy("query_id")))
+    rows = sums.where(~F.col("_asked")).select("query_id", F.col("_key").alias(key), "dot", "length", "asked_length")
+    rows = chunks.select("query_id", key).join(rows, ["query_id", key], "left")
     return rows.select("query_id", key, F.coalesce(F.try_divide("dot", F.col("length") * F.col("asked_length")), F.lit(0.0)).alias("similarity"))

@@ -1,9 +1,11 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import text as t
-from siftline.operators import context, merge, ranking
+from siftline.operators import context, lexical, merge, ranking
 from siftline.operators.lexical import bm25
 
 CHUNK = "query_id long, query string, text string, source_idx int, source_url string, source_title string, chunk_idx int, pub_date timestamp_ntz, as_of timestamp_ntz"
@@ -171,3 +173,33 @@ def test_islands_and_confidence(spark):
     assert [(r["text"].count("\n\n"), r["relevance"]) for r in out] == [(1, 0.95), (0, 0.5), (0, 0.1), (0, 0.3)]
     assert [r["points"] for r in out] == [3 + 1 + 3 + 2 + 1, 2 + 0 + 0 - 2 + 2 + 1, 0 + 1 + 2 + 1 - 1 + 0, 1 + 1 + 2 + 1]
     assert [r["confidence"] for r in out] == ["HIGH", "LOW", "LOW", "MEDIUM"] and out[1]["confidence_note"] == "outdated (76 days old)" and out[2]["confidence_note"] == "dated (10 days old)"
+
+
+def test_tfidf_reads_tokens_once(spark):
+    """A chunk's tokens are read in one place of the plan and dealt by query once; two rows of one key count as one text, as a plain count has it."""
+    texts = [(1, 1, "alpha beta beta gamma"), (1, 2, "alpha delta"), (1, 3, ""), (1, 4, "beta beta beta one two"), (1, 5, "alpha zeta"), (1, 5, "alpha beta"), (2, 6, "alpha")]
+    rows = spark.createDataFrame([(q, i, {1: "beta alpha", 2: "the"}[q], x) for q, i, x in texts], "query_id long, doc_id long, query string, text string").repartition(2)
+    out = lexical.tfidf(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2, plan  # texts and queries
+    df = {w: sum(w in x.split() for q, _, x in texts if q == 1) + (w in ("alpha", "beta")) for w in "alpha beta gamma delta one two zeta".split()}
+    idf = {w: math.log((7 + 1) / (n + 1)) + 1 for w, n in df.items()}
+
+    def vector(parts):
+        v = {}
+        for words in parts:
+            for w in words:
+                v[w] = v.get(w, 0) + idf[w] / len(words)
+        return v
+
+    asked = vector([["beta", "alpha"]])
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {6: [0.0]}
+    for i in range(1, 6):
+        own = [x.split() for q, k, x in texts if q == 1 and k == i]
+        v = vector([w for w in own if w])
+        want[i] = [sum(v.get(w, 0) * asked[w] for w in asked) / (norm(v) * norm(asked)) if v else 0.0] * len(own)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append(r["similarity"])
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
