@@ -59,7 +59,7 @@ def query_language(c: Column | str) -> Column:
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits of more than two characters, without stop words."""
     stop = [x for x in w.STOP_WORDS_RU + w.STOP_WORDS_EN if len(x) > 2]
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(_of(c), F.lit(""))), F.lit(w.TOKEN), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(stop))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(_of(c), F.lit(""))), F.lit(w.LONG_TOKEN), F.lit(0)), lambda x: ~x.isin(stop))
 
 
 def sentences(c: Column | str) -> Column:

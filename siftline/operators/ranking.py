@@ -112,7 +112,8 @@ class Picker:
             for i, like in rest.items():
                 own = self.taken[i][2]
                 if own and last:
-                    rest[i] = max(like, len(own & last) / len(own | last))
+                    both = len(own & last)
+                    rest[i] = max(like, both / (len(own) + len(last) - both))
             best = max(rest, key=lambda i: MIX * self.taken[i][1] - (1 - MIX) * rest[i])  # the first of equals
             del rest[best]
             order.append(best)
@@ -136,16 +137,17 @@ def _fold(batches: Iterator[pa.RecordBatch], steps: str, default: int) -> Iterat
         return pa.RecordBatch.from_arrays([pa.array([now] * len(chosen), pa.int64()), pa.array([p for p, _ in chosen], pa.int32()), pa.array(range(1, len(chosen) + 1), pa.int32())], ["query_id", "pos", "sel_pos"])
 
     for b in batches:
-        query, rest = b.column(0).to_pylist(), [b.column(n) for n in range(1, b.num_columns)]
+        query, pos, relevance, size, source, domain, top = (b.column(n).to_pylist() for n in (0, 1, 2, 4, 5, 6, 7))
+        tokens = b.column(3)
+        ends, hashes = tokens.offsets.to_pylist(), tokens.values.to_numpy()
         for i, q in enumerate(query):
             if picker is None or q != now:
                 if picker is not None:
                     yield done()
-                now, k = q, rest[6][i].as_py()
+                now, k = q, top[i]
                 picker = Picker() if steps == "dedup" else Picker(per_source_cap(k, default), 2 * k)
             if not picker.full:
-                pos, relevance, tokens, size, source, domain = (rest[n][i].as_py() for n in range(6))
-                picker.see(pos, relevance, tokens, size, source, domain)
+                picker.see(pos[i], relevance[i], hashes[ends[i] : ends[i + 1]].tolist(), size[i], source[i], domain[i])
     if picker is not None:
         yield done()
 

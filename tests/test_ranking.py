@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,45 @@ def test_tfidf_reads_tokens_once(spark):
     for r in out.collect():
         got.setdefault(r["doc_id"], []).append(r["similarity"])
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+class _Whole:
+    """A column that is read as a whole, not a value at a time."""
+
+    def __init__(self, column):
+        self.to_pylist, self.column = column.to_pylist, column
+
+    def __getattr__(self, name):
+        if name in ("offsets", "values"):
+            return getattr(self.column, name)
+        raise AttributeError(name)
+
+    def __getitem__(self, i):
+        raise AssertionError("a value at a time")
+
+
+def test_fold_reads_batches_by_column():
+    """Queries that go on in the next batch, sliced columns; the picks are those of a Picker by hand."""
+    rnd = random.Random(5)
+    rows = [(q, i, round(rnd.random(), 4), [rnd.randrange(9) for _ in range(rnd.randrange(1, 7))], 6, rnd.randrange(4), rnd.choice("ab"), 8) for q in range(4) for i in range(1, 30)]
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    columns = [pa.array([(7, 7, 0.7, [7], 7, 7, "7", 7)[n]] + [r[n] for r in rows], k) for n, k in enumerate(kinds)]
+
+    class Batch:
+        num_columns = len(kinds)
+
+        def __init__(self, at, n):
+            self.own = [_Whole(c.slice(1 + at, n)) for c in columns]
+
+        def column(self, n):
+            return self.own[n]
+
+    got = [tuple(x.values()) for b in ranking._fold((Batch(at, 25) for at in range(0, len(rows), 25)), "all", 3) for x in b.to_pylist()]
+    want = []
+    for q in range(4):
+        picker = ranking.Picker(ranking.per_source_cap(8, 3), 16)
+        for r in rows:
+            if r[0] == q and not picker.full:
+                picker.see(*r[1:7])
+        want += [(q, p, k) for k, (p, _) in enumerate(picker.diverse(min(12, len(picker.taken))), 1)]
+    assert got == want
